@@ -33,8 +33,8 @@ from .minhash import _POWERS, mixed, prefix_hash
 
 #: Fixed value of the contract.
 WINDOW = 200
-#: Parameters: bytes of the strings that minimizers are chosen from, the most windows in a segment, and bytes that one suffix array takes together.
-GRAM, MOST_WINDOWS, TOGETHER = 64, 512, 32_768
+#: Parameters: bytes of the strings that minimizers are chosen from, and bytes that one suffix array takes together.
+GRAM, TOGETHER = 64, 32_768
 
 _U = np.uint64
 
@@ -156,12 +156,10 @@ def segments(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     gram = min(GRAM, window)
     grams = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
     least = sliding_least(grams, window - gram + 1)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    # a window whose least string is its first is the last of its segment, so a segment holds its minimizer once
+    new = (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
     counts = np.diff(np.append(starts, n))
-    if counts.max() > MOST_WINDOWS:
-        parts = -(-counts // MOST_WINDOWS)
-        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, counts = np.repeat(starts, parts) + within * MOST_WINDOWS, np.minimum(np.repeat(counts, parts) - within * MOST_WINDOWS, MOST_WINDOWS)
     ends = starts + counts + window - 1
     content = mixed((sums[ends] - sums[starts]) * down[starts] * _U(0xD6E8FEB86659FD93) + counts.astype(_U))
     return least[starts].view(np.int64), content.view(np.int64), starts, counts
