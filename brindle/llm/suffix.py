@@ -33,8 +33,9 @@ from .minhash import _POWERS, mixed, prefix_hash
 
 #: Fixed value of the contract.
 WINDOW = 200
-#: Parameters: bytes of the strings that minimizers are chosen from, and bytes that one suffix array takes together.
-GRAM, TOGETHER = 64, 32_768
+#: Parameters: bytes of the strings that minimizers are chosen from, and bytes that one suffix array takes together, and the
+#: precision in bytes to which segments are known to differ before that.
+GRAM, TOGETHER, STEP = 64, 32_768, 17
 
 _U = np.uint64
 
@@ -122,8 +123,10 @@ def repeated_starts(segments: list[bytes], window: int) -> list[np.ndarray]:
     long = order[room[order] >= window]
     a, b = long[:-1], long[1:]
     pair = np.arange(len(a))
-    for k in range(window):
-        pair = pair[raw[a[pair] + k] == raw[b[pair] + k]]
+    width = 8 if window % 8 == 0 else 1
+    words = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else raw.reshape(-1, 1)[:0]
+    for k in range(0, window, width):
+        pair = pair[(words[a[pair] + k] == words[b[pair] + k]).all(1)]
     hit = np.zeros(len(raw), bool)
     hit[a[pair]] = hit[b[pair]] = True
     return [np.flatnonzero(hit[o : o + s]) for o, s in zip(offsets, sizes)]
@@ -165,8 +168,34 @@ def segments(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return least[starts].view(np.int64), content.view(np.int64), starts, counts
 
 
-def _bytes(column: pa.Array) -> Iterator[bytes]:
-    return ((t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist())
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Texts as the bytes that Arrow holds anyway."""
+    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+
+
+def minimizer_at(segment: bytes, window: int) -> int:
+    """Where in a segment its minimizer stands: at the first least string of its first window."""
+    gram = min(GRAM, window)
+    raw = np.frombuffer(segment[:window], np.uint8)
+    sums = prefix_hash(raw)
+    _, down = _POWERS.to(len(raw) + 1)
+    return int(mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]).argmin())
+
+
+def may_match(contents: list[bytes], places: list[int], single: list[bool], window: int) -> list[int]:
+    """The segments of one minimizer that may share a window with another, one of the two occurring once only.
+
+    A shared window has the minimizer in both; by where it stands in the window, in steps of STEP bytes, the
+    window contains one of a few strings around the minimizer, and both segments must hold that string."""
+    gram = min(GRAM, window)
+    rest = window - gram
+    holders: dict[tuple[int, bytes], list[int]] = {}
+    for k, (text, at) in enumerate(zip(contents, places)):
+        for left in range(0, rest + 1, STEP):  # the window starts left to left + STEP - 1 bytes before the minimizer
+            a, b = at - left, at + gram + max(0, rest - left - STEP + 1)
+            if a >= 0 and b <= len(text):
+                holders.setdefault((left, text[a:b]), []).append(k)
+    return sorted({k for own in holders.values() if len(own) > 1 and any(single[x] for x in own) for k in own})
 
 
 def _kinds(window: int):
@@ -220,14 +249,15 @@ def _contents(window: int):
 
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, kinds, found = [], [], []
+            keys, kinds, single, found = [], [], [], []
             for text, tag, asked in zip(_bytes(batch.column("text")), batch.column("tag").to_pylist(), batch.column("asked").to_pylist()):
                 if crc32(text) - 2**31 == tag:
                     for x in asked:
                         keys.append(x["key"])
                         kinds.append(x["kind"])
+                        single.append(x["n"] == 1)
                         found.append(text[x["start"] : x["start"] + x["windows"] + window - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int64()), pa.array(found, pa.binary())], ["key", "kind", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int64()), pa.array(single, pa.bool_()), pa.array(found, pa.binary())], ["key", "kind", "single", "content"])
 
     return contents
 
@@ -248,7 +278,12 @@ def _arrays(window: int):
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for group in groups(batches, ["key"]):
-            own = sum(map(len, group.column("content").to_pylist()))
+            contents = group.column("content").to_pylist()
+            picked = may_match(contents, [minimizer_at(c, window) for c in contents], group.column("single").to_pylist(), window)
+            if not picked:
+                continue
+            group = group.take(pa.array(picked))
+            own = sum(len(contents[k]) for k in picked)
             if held and size + own > TOGETHER:
                 yield solve(held)
                 held, size = [], 0
@@ -284,23 +319,23 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _remove(window: int, text_at: int):
+def _remove(window: int, text_at: int, exact: bool):
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, valid, n_bytes, n_removed, all_spans = [], [], [], [], []
+            kept, n_bytes, n_removed, all_spans = [], [], [], []
             for text, tag, places in zip(_bytes(batch.column(text_at)), batch.column("_tag").to_pylist(), batch.column("_places").to_pylist()):
                 own = [] if places is None or tag != crc32(text) - 2**31 else places
                 spans = covered([(p["start"] + s["a"], p["start"] + s["b"]) for p in own for s in p["spans"]], window)
-                cut = lambda spans: b"".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]))  # noqa: B023, E731
-                kept.append(cut(spans))
-                valid.append(cut(whole_characters(text, spans)).decode("utf-8", "replace"))
+                cuts = spans if exact else whole_characters(text, spans)
+                kept.append(b"".join(text[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)])) if cuts else text)
                 n_bytes.append(len(text))
                 n_removed.append(sum(b - a for a, b in spans))
                 all_spans.append([{"a": a, "b": b} for a, b in spans])
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_tag", "_places", "_own_tag")]
-            names = [n for n in batch.schema.names if n not in ("_tag", "_places", "_own_tag")]
-            columns[text_at] = pa.array(valid, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(all_spans, _RUNS), pa.array(kept, pa.binary())], [*names, "_n_bytes", "_n_removed", "_spans", "_kept"])
+            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_tag", "_places")]
+            names = [n for n in batch.schema.names if n not in ("_tag", "_places")]
+            remains = pa.array(kept, pa.binary())
+            columns[text_at] = remains if exact else remains.cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(all_spans, _RUNS)], [*names, "_n_bytes", "_n_removed", "_spans"])
 
     return remove
 
@@ -320,10 +355,10 @@ def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     sums = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     hot = written(kinds.join(sums, "key").select(*kinds.columns, "kinds"), "repeated")
 
-    asked = hot.where("kinds > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "kind", "start", "windows")).alias("asked"))
+    asked = hot.where("kinds > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "kind", "n", "start", "windows")).alias("asked"))
     texts = rows.select(F.col("doc_id").alias("_id"), "text")
     contents = texts.join(asked, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", "tag", "asked")
-    contents = contents.mapInArrow(_contents(window), "key long, kind long, content binary")
+    contents = contents.mapInArrow(_contents(window), "key long, kind long, single boolean, content binary")
     ordered = contents.repartition("key").sortWithinPartitions("key")
     partial = ordered.mapInArrow(_arrays(window), "key long, kind long, spans array<struct<a: int, b: int>>")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
@@ -336,15 +371,17 @@ def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     return at.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the remaining text (spans shrunk to whole characters), ``n_bytes, n_removed, spans`` (byte runs) and
-    ``kept`` (binary: the remaining bytes exactly)."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, exact: bool = False) -> DataFrame:
+    """``docs`` with what remains of the text, and ``n_bytes, n_removed, spans`` (byte runs) as last columns.
+
+    With ``exact`` the text column is binary, the remaining bytes as they are; without, spans are shrunk to
+    whole characters in it, so that it stays text (the counts and spans are the exact ones)."""
     names = docs.columns
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     places = repeated_segments(rows, window).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
-    plain = docs.select(*(F.col(old).alias(f"_c{k}") for k, old in enumerate(names)), tag_of(F.col(text_col)).alias("_own_tag"))
-    doc_id = f"_c{names.index(id_col)}"
-    joined = plain.join(places, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own_tag") == F.col("_tag")), "left").drop("_id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "_own_tag")
-    out = joined.mapInArrow(_remove(window, names.index(text_col)), f"{fields}, _n_bytes long, _n_removed long, _spans array<struct<a: int, b: int>>, _kept binary")
-    return out.select(*(F.col(f"_c{k}").alias(old) for k, old in enumerate(names)), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
+    plain = docs.select(*(F.col(old).alias(f"_c{k}") for k, old in enumerate(names)))
+    doc_id, text = (f"_c{names.index(c)}" for c in (id_col, text_col))
+    joined = plain.join(places, F.col(doc_id).eqNullSafe(F.col("_id")) & (tag_of(F.col(text)) == F.col("_tag")), "left").drop("_id")
+    fields = ", ".join(f"`{f.name}` {'binary' if exact and f.name == text else f.dataType.simpleString()}" for f in plain.schema.fields)
+    out = joined.mapInArrow(_remove(window, names.index(text_col), exact), f"{fields}, _n_bytes long, _n_removed long, _spans array<struct<a: int, b: int>>")
+    return out.select(*(F.col(f"_c{k}").alias(old) for k, old in enumerate(names)), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_spans").alias("spans"))
