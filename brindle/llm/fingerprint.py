@@ -6,8 +6,8 @@ a term draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from hashes of itself and the sa
     t = floor(ln w / r + b),    ln a = ln c - r (t - b + 1)
 
 the sample is the (term, t) of least a. Two documents get the same sample with a probability equal to their
-generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w'). As one long of ln a in the high bits
-and 20 bits of the sample's hash below, the least is a plain ``min``, which hash aggregation adds up in place.
+generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w'). ln a itself names the
+sample, so the least is a plain ``min`` of a double, which hash aggregation keeps in place.
 
 Texts are shuffled once by id; terms, weights and samples are then made within that partitioning, so the
 (document, term) rows never leave their task, and a document's terms are not gathered in a row.
@@ -21,18 +21,16 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import id_and_text, sha256_hex, written
 
-#: Parameters: samples, and bits of id that one window over ids spans.
-SAMPLES, BUCKET_BITS = 32, 12
-SAMPLE_BITS, SCALE = 20, float(1 << 30)
+#: Parameters: samples (below 24 Spark fuses their columns into methods too large for the JIT compiler), and bits of id that one window over ids spans.
+SAMPLES, BUCKET_BITS = 24, 12
+SAMPLE_BITS = 20
 #: Fixed value of the contracts: the white space between words.
-BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
+BETWEEN_WORDS, LAST_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*\z"
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -79,31 +77,32 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def draws(term: str, k: int) -> list[Column]:
-    """``r, ln c, b`` and the hash bits of sample ``k`` for a hashed term."""
+    """What sample ``k`` needs of a hashed term: 1 / r, b, r and ln c - r (1 - b)."""
     one, two = F.xxhash64(F.col(term), F.lit(2 * k)), F.xxhash64(F.col(term), F.lit(2 * k + 1))
     r = -F.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
     c = F.log(-F.log(_uniform(one, 42, 22) * _uniform(two, 0, 22)))
-    return [r.alias(f"r{k}"), c.alias(f"c{k}"), _uniform(two, 22, 21).alias(f"b{k}"), F.shiftrightunsigned(two, 64 - SAMPLE_BITS).alias(f"h{k}")]
+    b = _uniform(two, 22, 30)
+    return [(1.0 / r).alias(f"i{k}"), b.alias(f"b{k}"), r.alias(f"r{k}"), (c - r * (1.0 - b)).alias(f"d{k}")]
 
 
 def sample(k: int, log_weight: str) -> Column:
-    """ln a in the high bits, the sample's hash in the low ones; null without a weight."""
-    t = F.floor(F.col(log_weight) / F.col(f"r{k}") + F.col(f"b{k}"))
-    log_a = F.col(f"c{k}") - F.col(f"r{k}") * (t - F.col(f"b{k}") + 1.0)
-    low = F.col(f"h{k}").bitwiseXOR(t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
-    return F.shiftleft((log_a * SCALE).cast("long"), SAMPLE_BITS).bitwiseOR(low)
+    """ln a; null without a weight. Term, t and sample number alone make it, so an equal least is an equal sample."""
+    return F.col(f"d{k}") - F.col(f"r{k}") * F.floor(F.col(log_weight) * F.col(f"i{k}") + F.col(f"b{k}"))
 
 
 def _hex(least: list[Column]) -> Column:
-    digits = SAMPLE_BITS // 4
-    return F.concat(*(F.coalesce(F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))), digits, "0"), F.lit("")) for x in least))
+    """Some bits of a hash of each sample as one string of hexadecimal digits; empty if there are none."""
+    bits = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
+    digits = F.transform(F.filter(F.array(*least), lambda x: x.isNotNull()), lambda x: F.lpad(F.lower(F.hex(bits(x))), SAMPLE_BITS // 4, "0"))
+    return F.array_join(digits, "")
 
 
 def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples of two fingerprints."""
     digits = SAMPLE_BITS // 4
-    parts = [F.when(F.substring(one, 1 + k * digits, digits) == F.substring(other, 1 + k * digits, digits), 1.0).otherwise(0.0) for k in range(samples)]
-    return F.when((one == "") | (other == ""), F.when(one == other, 1.0).otherwise(0.0)).otherwise(reduce(Column.__add__, parts) / samples)
+    at = F.sequence(F.lit(0), F.lit(samples - 1))
+    equal = F.size(F.filter(at, lambda k: F.substr(one, k * digits + 1, F.lit(digits)) == F.substr(other, k * digits + 1, F.lit(digits))))
+    return F.when((one == "") | (other == ""), F.when(one == other, 1.0).otherwise(0.0)).otherwise(equal / samples)
 
 
 def fingerprints(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -111,21 +110,27 @@ def fingerprints(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     key = ["doc_id", "key"]
     rows = pairs.withColumn("key", F.xxhash64("text", F.lit(1), "edited"))
     rows = rows.groupBy(*key).agg(F.first("text").alias("text"), F.first("edited").alias("edited"), F.count(F.lit(1)).cast("int").alias("copies"))
-    kept = [*key, "copies", "n_chars", "edited_sha256"]
-    rows = rows.select(*key, "copies", F.length("text").cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"), "text", "edited")
-    sides = rows.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    words = sides.select(*kept, F.col("x.side").alias("side"), F.explode(F.split("x.text", BETWEEN_WORDS)).alias("word"))
-    counted = words.groupBy(*key, F.xxhash64("word").alias("term")).agg(
-        F.sum(F.when((F.col("side") == 0) & (F.col("word") != ""), 1).otherwise(0)).alias("w0"),
-        F.sum(F.when((F.col("side") == 1) & (F.col("word") != ""), 1).otherwise(0)).alias("w1"),
-        *(F.first(c).alias(c) for c in kept[2:4]),
-        F.first("edited_sha256").alias("edited_sha256"),
+    # all that a row keeps is part of the grouping keys: fixed-width sums alone can be added up in a hash table
+    kept = [*key, "copies", "n_chars", "edited_sha"]
+    rows = rows.select(*key, "copies", F.length("text").cast("long").alias("n_chars"), F.unhex(sha256_hex(F.col("edited"))).alias("edited_sha"), "text", "edited")
+    # the words before the last white space of what the texts share are split and counted once for both
+    shared = F.length("text") - F.floor(F.length("text") / 4).cast("int")
+    shared = shared - F.length(F.regexp_extract(F.substr("text", F.lit(1), shared), LAST_WORD, 0))
+    part = lambda text, in_text, in_edited: F.struct(text.alias("text"), F.lit(in_text).alias("in_text"), F.lit(in_edited).alias("in_edited"))
+    rest = lambda c: F.substr(c, F.col("shared") + 1, F.length(c))
+    parts = rows.withColumn("shared", shared).select(
+        *kept, F.explode(F.array(part(F.substr("text", F.lit(1), F.col("shared")), 1, 1), part(rest("text"), 1, 0), part(rest("edited"), 0, 1))).alias("x")
     )
+    words = parts.select(*kept, F.col("x.in_text").alias("in_text"), F.col("x.in_edited").alias("in_edited"), F.explode(F.split("x.text", BETWEEN_WORDS)).alias("word"))
+    occurs = lambda c: F.sum(F.when(F.col("word") != "", F.col(c)).otherwise(0))
+    counted = words.groupBy(*kept, F.xxhash64("word").alias("term")).agg(occurs("in_text").alias("w0"), occurs("in_edited").alias("w1"))
     weighted = counted.select(*kept, F.when(F.col("w0") > 0, F.log("w0")).alias("l0"), F.when(F.col("w1") > 0, F.log("w1")).alias("l1"), *(x for k in range(samples) for x in draws("term", k)))
-    least = weighted.groupBy(*key).agg(
-        *(F.first(c).alias(c) for c in kept[2:]), *(F.min(sample(k, "l0")).alias(f"s{k}") for k in range(samples)), *(F.min(sample(k, "l1")).alias(f"e{k}") for k in range(samples))
-    )
-    out = least.select("doc_id", "n_chars", "edited_sha256", _hex([F.col(f"s{k}") for k in range(samples)]).alias("fingerprint"), _hex([F.col(f"e{k}") for k in range(samples)]).alias("edited_fingerprint"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
+    least = weighted.groupBy(*kept).agg(*(F.min(sample(k, weight)).alias(f"{side}{k}") for side, weight in (("s", "l0"), ("e", "l1")) for k in range(samples)))
+    out = least.select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        *(_hex([F.col(f"{side}{k}") for k in range(samples)]).alias(name) for side, name in (("s", "fingerprint"), ("e", "edited_fingerprint"))),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"),
+    )
     return out.drop("_copy")
 
 
