@@ -67,7 +67,8 @@ def edited(rows: DataFrame, following: DataFrame) -> DataFrame:
     starts = rows.join(asked, F.col("doc_id") == F.col("_from")).select("_to", F.substr("text", F.lit(1), F.col("need")).alias("_start"))
     starts = starts.groupBy("_to").agg(F.min("_start").alias("_start"))
     own = F.substr("text", F.lit(1), F.length("text") - quarter)
-    both = rows.join(starts, F.col("doc_id") == F.col("_to"), "left")
+    # every id has a next one: as inner joins both read the one shuffle of the texts by id
+    both = rows.join(starts, F.col("doc_id") == F.col("_to"))
     return both.select("doc_id", "text", F.concat(own, F.coalesce(F.substr("_start", F.lit(1), quarter), F.lit(""))).alias("edited"))
 
 
@@ -138,7 +139,12 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, a row per input row."""
     rows = id_and_text(docs, id_col, text_col)
     following = written(next_ids(rows.select("doc_id")), "next")
-    found = written(fingerprints(edited(rows, following), samples), "fingerprints")
+    found = fingerprints(edited(rows, following), samples)
+    alone = rows.where("doc_id is null")
+    if not alone.isEmpty():
+        kept = F.substr("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 4).cast("int"))
+        found = found.unionByName(fingerprints(alone.select("doc_id", "text", kept.alias("edited")), samples))
+    found = written(found, "fingerprints")
     others = following.join(found.groupBy("doc_id").agg(F.min("fingerprint").alias("_fp")).withColumnRenamed("doc_id", "next_id"), "next_id")
     joined = found.join(others.select(F.col("doc_id").alias("_id"), "_fp"), F.col("doc_id") == F.col("_id"), "left")
     return joined.select(
