@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ._shared import id_and_text, sha256_hex, written
 
-#: Parameters: samples (below 24 Spark fuses their columns into methods too large for the JIT compiler), and bits of id that one window over ids spans.
-SAMPLES, BUCKET_BITS = 24, 12
+#: Parameters: samples, those that one row makes, and bits of id that one window over ids spans.
+SAMPLES, PER_ROW, BUCKET_BITS = 24, 4, 12
 SAMPLE_BITS = 20
 #: Fixed value of the contracts: the white space between words.
 BETWEEN_WORDS, LAST_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*\z"
@@ -77,25 +77,24 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + 0.5) / float(1 << width)
 
 
-def draws(term: str, k: int) -> list[Column]:
-    """What sample ``k`` needs of a hashed term: 1 / r, b, r and ln c - r (1 - b)."""
-    one, two = F.xxhash64(F.col(term), F.lit(2 * k)), F.xxhash64(F.col(term), F.lit(2 * k + 1))
+def draws(term: Column, number: Column, name: str) -> list[Column]:
+    """What the sample of a number needs of a hashed term: 1 / r, b, r and ln c - r (1 - b)."""
+    one, two = F.xxhash64(term, number * 2), F.xxhash64(term, number * 2 + 1)
     r = -F.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
     c = F.log(-F.log(_uniform(one, 42, 22) * _uniform(two, 0, 22)))
     b = _uniform(two, 22, 30)
-    return [(1.0 / r).alias(f"i{k}"), b.alias(f"b{k}"), r.alias(f"r{k}"), (c - r * (1.0 - b)).alias(f"d{k}")]
+    return [(1.0 / r).alias(f"i{name}"), b.alias(f"b{name}"), r.alias(f"r{name}"), (c - r * (1.0 - b)).alias(f"d{name}")]
 
 
-def sample(k: int, log_weight: str) -> Column:
+def sample(name: str, log_weight: str) -> Column:
     """ln a; null without a weight. Term, t and sample number alone make it, so an equal least is an equal sample."""
-    return F.col(f"d{k}") - F.col(f"r{k}") * F.floor(F.col(log_weight) * F.col(f"i{k}") + F.col(f"b{k}"))
+    return F.col(f"d{name}") - F.col(f"r{name}") * F.floor(F.col(log_weight) * F.col(f"i{name}") + F.col(f"b{name}"))
 
 
-def _hex(least: list[Column]) -> Column:
+def _hex(least: Column) -> Column:
     """Some bits of a hash of each sample as one string of hexadecimal digits; empty if there are none."""
     bits = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
-    digits = F.transform(F.filter(F.array(*least), lambda x: x.isNotNull()), lambda x: F.lpad(F.lower(F.hex(bits(x))), SAMPLE_BITS // 4, "0"))
-    return F.array_join(digits, "")
+    return F.array_join(F.transform(F.filter(least, lambda x: x.isNotNull()), lambda x: F.lpad(F.lower(F.hex(bits(x))), SAMPLE_BITS // 4, "0")), "")
 
 
 def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
@@ -125,11 +124,17 @@ def fingerprints(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     words = parts.select(*kept, F.col("x.in_text").alias("in_text"), F.col("x.in_edited").alias("in_edited"), F.explode(F.split("x.text", BETWEEN_WORDS)).alias("word"))
     occurs = lambda c: F.sum(F.when(F.col("word") != "", F.col(c)).otherwise(0))
     counted = words.groupBy(*kept, F.xxhash64("word").alias("term")).agg(occurs("in_text").alias("w0"), occurs("in_edited").alias("w1"))
-    weighted = counted.select(*kept, F.when(F.col("w0") > 0, F.log("w0")).alias("l0"), F.when(F.col("w1") > 0, F.log("w1")).alias("l1"), *(x for k in range(samples) for x in draws("term", k)))
-    least = weighted.groupBy(*kept).agg(*(F.min(sample(k, weight)).alias(f"{side}{k}") for side, weight in (("s", "l0"), ("e", "l1")) for k in range(samples)))
-    out = least.select(
+    # a row takes PER_ROW samples: few columns, so that generated code stays small enough to be compiled well
+    rounds = F.explode(F.array(*map(F.lit, range(samples // PER_ROW))))
+    numbered = counted.select(*kept, "term", F.when(F.col("w0") > 0, F.log("w0")).alias("l0"), F.when(F.col("w1") > 0, F.log("w1")).alias("l1"), rounds.alias("round"))
+    drawn = numbered.select(*kept, "round", "l0", "l1", *(x for k in range(PER_ROW) for x in draws(F.col("term"), F.col("round") * PER_ROW + k, str(k))))
+    least = drawn.groupBy(*kept, "round").agg(*(F.min(sample(str(k), weight)).alias(f"{side}{k}") for side, weight in (("s", "l0"), ("e", "l1")) for k in range(PER_ROW)))
+    some = F.struct("round", *(F.array(*(F.col(f"{side}{k}") for k in range(PER_ROW))).alias(side) for side in "se"))
+    whole = least.groupBy(*kept).agg(F.sort_array(F.collect_list(some)).alias("all"))
+    out = whole.select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
-        *(_hex([F.col(f"{side}{k}") for k in range(samples)]).alias(name) for side, name in (("s", "fingerprint"), ("e", "edited_fingerprint"))),
+        _hex(F.flatten(F.transform("all", lambda x: x["s"]))).alias("fingerprint"),
+        _hex(F.flatten(F.transform("all", lambda x: x["e"]))).alias("edited_fingerprint"),
         F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"),
     )
     return out.drop("_copy")

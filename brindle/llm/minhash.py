@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = written(clumps.join(classes.select("class", "rep", "n"), "class"), "members")
     sizes = members.groupBy(F.col("clump").alias("_clump")).agg(F.sum("n").alias("_total"))
-    texts = rows.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    # by a shuffle at any size: what the few members of a small corpus would save there, a large one does not
+    texts = rows.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep")
     full = texts.select("text", "class", "clump", "rep").mapInArrow(_sets, f"class binary, clump binary, rep {kind}, hashes binary")
     blocks = full.join(sizes, F.col("clump") == F.col("_clump"))
     dealt = block_pairs(blocks, F.ceil(F.col("_total") / CLUMP_BLOCK), F.xxhash64("class")).select("clump", "lo", "hi", "block", "rep", "hashes")
