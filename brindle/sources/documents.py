@@ -20,7 +20,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_python(spark: SparkSession, documents: list[dict]) -> DataFrame:
-    rows = [(d["id"], d.get("vector"), json.dumps(d["attributes"]) if d.get("attributes") is not None else None, bool(d.get("deleted"))) for d in documents]
+    as_floats = lambda v: None if v is None else [float(x) for x in v]
+    rows = [(d["id"], as_floats(d.get("vector")), json.dumps(d["attributes"]) if d.get("attributes") is not None else None, bool(d.get("deleted"))) for d in documents]
     return spark.createDataFrame(rows, DOCUMENT)
 
 

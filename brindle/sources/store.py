@@ -122,7 +122,7 @@ class HadoopStore(MemoryStore):
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, key: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}" if key else self.root)
 
     def _create(self, key: str, version: int, body: bytes) -> None:
         try:
@@ -149,8 +149,9 @@ class HadoopStore(MemoryStore):
 
     def list(self, prefix: str) -> list[str]:
         files, found = self._fs.listFiles(self._path(""), True), set()
+        start = len(self._jvm.org.apache.hadoop.fs.Path(self.root).toUri().getPath()) + 1
         while files.hasNext():
-            folder = files.next().getPath().getParent().toString()
+            folder = files.next().getPath().getParent().toUri().getPath()
             if folder.endswith("@"):
-                found.add(folder[folder.index(self.root.split(":", 1)[-1]) + len(self.root.split(":", 1)[-1]) + 1 : -1])
+                found.add(folder[start:-1])
         return sorted(k for k in found if k.startswith(prefix))
