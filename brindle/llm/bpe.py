@@ -118,21 +118,26 @@ def pieces_of(long_docs: DataFrame, pattern: str, chunk: int, overlap: int) -> D
     kind = long_docs.schema["doc_id"].dataType.simpleString()
     chunks = written(long_docs.mapInArrow(_chunks(chunk, overlap), f"doc_id {kind}, text_key binary, chunk int, text string"), "chunks")
     key = ["doc_id", "text_key"]
-    # equal rows have equal chunks: one is kept, with their number
-    chunks = chunks.groupBy(*key, "chunk").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    zones = chunks.drop("copies").select(*key, "chunk", "text").mapInArrow(_zones(pattern, chunk, overlap), f"doc_id {kind}, text_key binary, chunk int, left array<int>, right array<int>")
+    shape = f"doc_id {kind}, text_key binary, chunk int, left array<int>, right array<int>"
+    zones = chunks.mapInArrow(_zones(pattern, chunk, overlap), shape).distinct()  # equal rows have equal chunks
     order = Window.partitionBy(*key).orderBy("chunk")
     cut = F.array_min(F.array_intersect(F.lag("right").over(order), F.col("left")))
     cuts = zones.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(cut))
     stuck = F.min(F.when(F.col("cut").isNull(), F.col("chunk") - 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cuts = cuts.withColumn("stuck", stuck).withColumn("next_cut", F.lead(F.when(F.col("stuck").isNull(), F.col("cut"))).over(order)).withColumn("end", F.lead("chunk").over(order).isNull())
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in (*key, "chunk")), "cut", "stuck", "next_cut", "end")
+    piece = F.coalesce("stuck", "chunk")
+    joins = F.coalesce(F.lead("stuck").over(order) == piece, F.lit(False)) | F.col("stuck").isNotNull()
+    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in (*key, "chunk")), "cut", "stuck", "next_cut", "end", piece.alias("piece"), joins.alias("joins"))
     joined = chunks.join(cuts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("chunk") == F.col("_chunk")))
     first = F.when(F.col("stuck").isNull(), F.col("cut")).otherwise(0)
     last = F.when(F.col("end"), F.length("text")).otherwise(chunk + F.coalesce("next_cut", F.lit(0)))
-    parts = joined.select(*key, F.coalesce("stuck", "chunk").alias("piece"), "chunk", "copies", F.substr("text", first + 1, F.greatest(last - first, F.lit(0))).alias("text"))
-    grouped = parts.groupBy(*key, "piece").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
-    return grouped.select(*key, "piece", "copies", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
+    parts = joined.select(*key, "chunk", "piece", "joins", F.substr("text", first + 1, F.greatest(last - first, F.lit(0))).alias("text"))
+    # a chunk that resynchronised is a piece as it stands; only what follows a chunk that did not is put together
+    plain = parts.where("not joins").select(*key, "piece", F.lit(1).cast("long").alias("copies"), "text")
+    grouped = parts.where("joins").groupBy(*key, "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+    once = F.array_distinct("parts")
+    joint = grouped.select(*key, "piece", (F.size("parts") / F.size(once)).cast("long").alias("copies"), F.array_join(F.transform(once, lambda x: x["text"]), "").alias("text"))
+    return plain.unionByName(joint)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -145,8 +150,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     short = rows.where(~is_long).mapInArrow(_encode(ranks_path, pattern, 1), f"doc_id {kind}, ids array<int>")
     pieces = pieces_of(rows.where(is_long), pattern, chunk, overlap)
     coded = pieces.mapInArrow(_encode(ranks_path, pattern, 4), f"doc_id {kind}, text_key binary, piece int, copies long, ids array<int>")
-    whole = coded.groupBy("doc_id", "text_key").agg(F.max("copies").cast("int").alias("copies"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
-    whole = whole.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    whole = coded.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies"), F.sort_array(F.collect_set(F.struct("piece", "ids"))).alias("parts"))
+    copies = F.array_repeat(F.lit(0), (F.col("copies") / F.size("parts")).cast("int"))
+    whole = whole.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"), F.explode(copies).alias("_copy")).drop("_copy")
     return short.unionByName(whole)
 
 

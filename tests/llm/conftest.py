@@ -14,5 +14,5 @@ def docs(spark):
         16: "中文 text 漢字 " * 60, 17: "<|endoftext|> </s> \\ <|turn|>", 18: "\x1c \x85 　 end", 19: " ".join(base[:200]) + "\n" + " ".join(base[100:300]),
     }
     rows = [(i, t, "en" if i % 2 else "fr", "src0" if i % 3 else None, len(t or ""), i) for i, t in texts.items()]
-    rows += [rows[6], (None, "no id at all", None, "src1", 12, 0), (100, "The same id.", "en", "src1", 3, 0), (100, "Another text.", "en", "src1", 3, 0)]
+    rows += [rows[6], rows[11], rows[19], (None, "no id at all", None, "src1", 12, 0), (100, "The same id.", "en", "src1", 3, 0), (100, "Another text.", "en", "src1", 3, 0)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long").repartition(3)
