@@ -17,16 +17,18 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Parameters: bytes of a merged file, size ratio of tiers and least number of shards merged, rows of an appended shard.
 TARGET_BYTES, FANOUT, APPEND_ROWS = 128 << 20, 4, 2_000
 #: Below this size shards are one tier.
 LEAST_BYTES = 64 << 10
+#: Runs that one job merges, a task each: the plan's size stays bounded.
+RUNS_IN_JOB = 64
 
 
 class Conflict(Exception):
@@ -139,18 +141,16 @@ class ShardStore:
         return self._publish(new, set())
 
     def compact_once(self) -> bool:
-        """One merge of all runs there are now, in a single job; False if there are none."""
+        """One merge of all runs there are now, RUNS_IN_JOB of them a job; False if there are none."""
         runs = plan(self.shards(), self.target, self.fanout)
         if not runs:
             return False
         directory = f"{self.root}/data/merge-{uuid.uuid4().hex}"
-        # a record a shard of the manifest; Spark picks the join by its size
-        numbered = self.spark.createDataFrame([(s.path, k) for k, run in enumerate(runs) for s in run], "_path string, _run int")
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*(s.path for run in runs for s in run))
-        named = rows.select("*", F.col("_metadata.file_path").alias("_file"))
-        merged = named.join(numbered, F.regexp_replace("_file", "^file:/+", "file:/") == F.regexp_replace("_path", "^file:/+", "file:/")).drop("_file", "_path")
-        dealt = merged.repartition(len(runs), "_run")
-        dealt.write.partitionBy("_run").option("compression", "zstd").parquet(directory)
+        schema = self.spark.read.option("mergeSchema", "true").parquet(*(s.path for run in runs for s in run)).schema
+        # a task reads the shards of a run one after the other and writes one file: no shuffle
+        for at in range(0, len(runs), RUNS_IN_JOB):
+            parts = [self.spark.read.schema(schema).parquet(*(s.path for s in run)).coalesce(1) for run in runs[at : at + RUNS_IN_JOB]]
+            reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(f"{directory}/{at}")
         gone = {s.path for run in runs for s in run}
         self._publish(self._files(directory), gone)
         return True
