@@ -6,6 +6,10 @@ one segment. Equal segments are counted. A segment that occurs twice repeats as
 segments share a minimizer, one of each kind is put into a suffix array, and the neighbours there that agree
 on ``window`` bytes show the repeated windows. The spans go back to all documents that hold the segment.
 
+A minimizer of many different segments is dealt finer, by the strings around the minimizer of which any shared
+window contains one, and where many segments hold such a string too, every pair of their blocks has a suffix
+array of its own: no task holds more than two blocks at a time, and no pair is left out.
+
 The suffix array is built by grouping, without recursion or renaming: the groups of suffixes, which share a
 Lyndon prefix when they are done, are processed in descending order; each looks for the previous smaller
 suffix of its members and moves these up to a group of their own, and a last pass emits each group in order.
@@ -20,6 +24,7 @@ are separate texts (32 bits of a text hash tell them apart), and equal rows repe
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._groups import groups
+from ._groups import block_pairs, groups
 from ._shared import written
 from .minhash import _POWERS, mixed, prefix_hash
 
@@ -36,6 +41,10 @@ WINDOW = 200
 #: Parameters: bytes of the strings that minimizers are chosen from, and bytes that one suffix array takes together, and the
 #: precision in bytes to which segments are known to differ before that.
 GRAM, TOGETHER, STEP = 64, 32_768, 17
+#: Different segments of a minimizer, or of a string around it, that are compared together; more are dealt finer.
+BLOCK = 1024
+#: Bytes of segments that are handed on at a time.
+HANDED = 16_000_000
 
 _U = np.uint64
 
@@ -182,19 +191,33 @@ def minimizer_at(segment: bytes, window: int) -> int:
     return int(mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]).argmin())
 
 
-def may_match(contents: list[bytes], places: list[int], single: list[bool], window: int) -> list[int]:
-    """The segments of one minimizer that may share a window with another, one of the two occurring once only.
+def around(segment: bytes, at: int, window: int) -> list[tuple[int, bytes]]:
+    """Strings around the minimizer at ``at``, of which each window of the segment contains one.
 
-    A shared window has the minimizer in both; by where it stands in the window, in steps of STEP bytes, the
-    window contains one of a few strings around the minimizer, and both segments must hold that string."""
+    By where the minimizer stands in a window, in steps of STEP bytes: the windows that start ``left`` to
+    ``left + STEP - 1`` bytes before it all contain the string given with ``left``."""
     gram = min(GRAM, window)
     rest = window - gram
+    out = []
+    for left in range(0, rest + 1, STEP):
+        a, b = at - left, at + gram + max(0, rest - left - STEP + 1)
+        if a >= 0 and b <= len(segment):
+            out.append((left, segment[a:b]))
+    return out
+
+
+def parts(segment: bytes, window: int) -> list[int]:
+    """The groups of a finer deal that a segment is in: hashes, never 0, of the strings around its minimizer."""
+    return [int.from_bytes(blake2b(b"%d " % left + text, digest_size=8).digest(), "little", signed=True) | 1 for left, text in around(segment, minimizer_at(segment, window), window)]
+
+
+def may_match(contents: list[bytes], places: list[int], single: list[bool], window: int) -> list[int]:
+    """The segments of one minimizer that may share a window with another, one of the two occurring once only:
+    both hold a string around the minimizer that such a window contains."""
     holders: dict[tuple[int, bytes], list[int]] = {}
     for k, (text, at) in enumerate(zip(contents, places)):
-        for left in range(0, rest + 1, STEP):  # the window starts left to left + STEP - 1 bytes before the minimizer
-            a, b = at - left, at + gram + max(0, rest - left - STEP + 1)
-            if a >= 0 and b <= len(text):
-                holders.setdefault((left, text[a:b]), []).append(k)
+        for held in around(text, at, window):
+            holders.setdefault(held, []).append(k)
     return sorted({k for own in holders.values() if len(own) > 1 and any(single[x] for x in own) for k in own})
 
 
@@ -245,19 +268,27 @@ def _batch(batch: pa.RecordBatch, rows: list, tags: list, parts: list) -> pa.Rec
 
 
 def _contents(window: int):
-    """The bytes of the segments asked for."""
+    """The bytes of the segments asked for, in part 0 of their minimizer or in the parts of the finer deal."""
+
+    def batch_of(keys: list, kinds: list, single: list, dealt: list, found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int64()), pa.array(single, pa.bool_()), pa.array(dealt, pa.int64()), pa.array(found, pa.binary())], ["key", "kind", "single", "part", "content"])
 
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, kinds, single, found = [], [], [], []
+            columns, size = ([], [], [], [], []), 0
             for text, tag, asked in zip(_bytes(batch.column("text")), batch.column("tag").to_pylist(), batch.column("asked").to_pylist()):
-                if crc32(text) - 2**31 == tag:
-                    for x in asked:
-                        keys.append(x["key"])
-                        kinds.append(x["kind"])
-                        single.append(x["n"] == 1)
-                        found.append(text[x["start"] : x["start"] + x["windows"] + window - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int64()), pa.array(single, pa.bool_()), pa.array(found, pa.binary())], ["key", "kind", "single", "content"])
+                if crc32(text) - 2**31 != tag:
+                    continue
+                for x in asked:
+                    content = text[x["start"] : x["start"] + x["windows"] + window - 1]
+                    for part in parts(content, window) if x["many"] else (0,):
+                        for column, value in zip(columns, (x["key"], x["kind"], x["n"] == 1, part, content)):
+                            column.append(value)
+                        size += len(content)
+                    if size > HANDED:
+                        yield batch_of(*columns)
+                        columns, size = ([], [], [], [], []), 0
+            yield batch_of(*columns)
 
     return contents
 
@@ -277,14 +308,17 @@ def _arrays(window: int):
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in groups(batches, ["key"]):
+        for group in groups(batches, ["key", "part", "lo", "hi"]):
+            if group.num_rows < 2:
+                continue
             contents = group.column("content").to_pylist()
             picked = may_match(contents, [minimizer_at(c, window) for c in contents], group.column("single").to_pylist(), window)
             if not picked:
                 continue
             group = group.take(pa.array(picked))
             own = sum(len(contents[k]) for k in picked)
-            if held and size + own > TOGETHER:
+            # groups of one minimizer share segments, which must not meet themselves
+            if held and (size + own > TOGETHER or held[-1].column("key")[0] == group.column("key")[0]):
                 yield solve(held)
                 held, size = [], 0
             held.append(group)
@@ -344,6 +378,17 @@ def tag_of(text: Column) -> Column:
     return (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - F.lit(2**31)).cast("int")
 
 
+def dealt(contents: DataFrame) -> DataFrame:
+    """``contents`` by the tasks ``key, part, lo, hi`` that compare them, the rows of each following each other."""
+    fine = contents.where("part <> 0")
+    large = fine.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK).select(F.col("key").alias("_k"), F.col("part").alias("_p"), "rows")
+    fine = fine.join(large, (F.col("key") == F.col("_k")) & (F.col("part") == F.col("_p")), "left")
+    fine = block_pairs(fine, F.ceil(F.coalesce("rows", F.lit(1)) / BLOCK), F.xxhash64("kind"))
+    plain = contents.where("part = 0").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    task = ["key", "part", "lo", "hi"]
+    return plain.unionByName(fine.select(*plain.columns)).repartition(*task).sortWithinPartitions(*task)
+
+
 def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     """``doc_id, tag, places``: for each text that repeats something, its segments (start, spans of repeated windows)."""
     id_kind = rows.schema["doc_id"].dataType.simpleString()
@@ -355,12 +400,12 @@ def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     sums = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     hot = written(kinds.join(sums, "key").select(*kinds.columns, "kinds"), "repeated")
 
-    asked = hot.where("kinds > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "kind", "n", "start", "windows")).alias("asked"))
+    asked = hot.where("kinds > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "kind", "n", "start", "windows", (F.col("kinds") > BLOCK).alias("many"))).alias("asked"))
     texts = rows.select(F.col("doc_id").alias("_id"), "text")
     contents = texts.join(asked, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", "tag", "asked")
-    contents = contents.mapInArrow(_contents(window), "key long, kind long, single boolean, content binary")
-    ordered = contents.repartition("key").sortWithinPartitions("key")
-    partial = ordered.mapInArrow(_arrays(window), "key long, kind long, spans array<struct<a: int, b: int>>")
+    contents = written(contents.mapInArrow(_contents(window), "key long, kind long, single boolean, part long, content binary"), "contents")
+    partial = dealt(contents).mapInArrow(_arrays(window), "key long, kind long, spans array<struct<a: int, b: int>>")
+    partial = partial.groupBy("key", "kind").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
     spans = hot.join(partial.select(F.col("key").alias("_k"), F.col("kind").alias("_c"), "spans"), (F.col("key") == F.col("_k")) & (F.col("kind") == F.col("_c")), "left")
     spans = spans.select("key", "kind", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")

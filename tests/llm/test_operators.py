@@ -198,6 +198,29 @@ def test_suffix_dedup(docs, window):
     assert suffix.suffix_dedup(docs, window=window).columns == [*docs.columns, "n_bytes", "n_removed", "spans"]
 
 
+def test_minimizers_of_many_segments_are_dealt_finer(spark, monkeypatch):
+    """One passage in many contexts, of which some agree for a few bytes before or after it."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    texts = []
+    for size in (190, 120):
+        passage, before, after = word(size), [word(40) for _ in range(4)], [word(40) for _ in range(4)]
+        for k in range(60):
+            left, right = rng.choice(before)[-rng.randrange(1, 41) :], rng.choice(after)[: rng.randrange(1, 41)]
+            texts.append(f"{word(rng.randrange(60))}{left}{passage}{right}{word(rng.randrange(60))}" + passage * (k % 20 == 0))
+    texts += texts[:3]
+    want = [(k, *x) for k, x in enumerate(brute_removed([t.encode() for t in texts], 200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    deals, dealt = [], suffix.dealt
+    monkeypatch.setattr(suffix, "BLOCK", 4)
+    monkeypatch.setattr(suffix, "HANDED", 2000)
+    monkeypatch.setattr(suffix, "dealt", lambda contents: deals.append(dealt(contents)) or deals[-1])
+    got = suffix.suffix_dedup(docs, exact=True).collect()
+    assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["text"])) for r in got) == bag(want)
+    assert 0 < sum(w[2] > 0 for w in want) < len(want)
+    assert deals[0].where("part <> 0 and hi > 0").count() and not deals[0].groupBy("key", "part", "lo", "hi").count().where("count > 30").count()
+
+
 def test_fingerprints(docs):
     rows_by = [(i, t) for i, t in rows(docs) if i is not None and i != 100]
     got = fingerprint.document_fingerprints(docs.where("doc_id is null or doc_id <> 100"), samples=240).collect()
