@@ -42,7 +42,7 @@ WINDOW = 200
 #: precision in bytes to which segments are known to differ before that.
 GRAM, TOGETHER, STEP = 64, 32_768, 17
 #: Different segments of a minimizer, or of a string around it, that are compared together; more are dealt finer.
-BLOCK = 1024
+BLOCK = 4096
 #: Bytes of segments that are handed on at a time.
 HANDED = 16_000_000
 
@@ -191,24 +191,25 @@ def minimizer_at(segment: bytes, window: int) -> int:
     return int(mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]).argmin())
 
 
-def around(segment: bytes, at: int, window: int) -> list[tuple[int, bytes]]:
+def around(segment: bytes, at: int, window: int, step: int = STEP) -> list[tuple[int, bytes]]:
     """Strings around the minimizer at ``at``, of which each window of the segment contains one.
 
-    By where the minimizer stands in a window, in steps of STEP bytes: the windows that start ``left`` to
-    ``left + STEP - 1`` bytes before it all contain the string given with ``left``."""
+    By where the minimizer stands in a window, in steps of some bytes: the windows that start ``left`` to
+    ``left + step - 1`` bytes before it all contain the string given with ``left``."""
     gram = min(GRAM, window)
     rest = window - gram
     out = []
-    for left in range(0, rest + 1, STEP):
-        a, b = at - left, at + gram + max(0, rest - left - STEP + 1)
+    for left in range(0, rest + 1, step):
+        a, b = at - left, at + gram + max(0, rest - left - step + 1)
         if a >= 0 and b <= len(segment):
             out.append((left, segment[a:b]))
     return out
 
 
 def parts(segment: bytes, window: int) -> list[int]:
-    """The groups of a finer deal that a segment is in: hashes, never 0, of the strings around its minimizer."""
-    return [int.from_bytes(blake2b(b"%d " % left + text, digest_size=8).digest(), "little", signed=True) | 1 for left, text in around(segment, minimizer_at(segment, window), window)]
+    """The one or two groups of a finer deal that a segment is in: hashes, never 0, of long strings around its minimizer."""
+    held = around(segment, minimizer_at(segment, window), window, (window - min(GRAM, window)) // 2 + 1)
+    return [int.from_bytes(blake2b(b"%d " % left + text, digest_size=8).digest(), "little", signed=True) | 1 for left, text in held]
 
 
 def may_match(contents: list[bytes], places: list[int], single: list[bool], window: int) -> list[int]:
