@@ -29,6 +29,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ WINDOW = 200
 GRAM, TOGETHER, STEP = 64, 32_768, 17
 #: Different segments of a minimizer, or of a string around it, that are compared together; more are dealt finer.
 BLOCK = 4096
-#: Bytes of segments that are handed on at a time.
-HANDED = 16_000_000
+#: Bytes of segments that are handed on at a time, and of texts that are hashed together.
+HANDED, HASHED = 16_000_000, 32_768
 
 _U = np.uint64
 
@@ -151,30 +152,41 @@ def runs(at: np.ndarray) -> list[tuple[int, int]]:
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The minima of all windows of ``width``."""
-    n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(padded, 1).ravel()
-    back = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - width + have], x[width - have :])
 
 
-def segments(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, content hash, first window and number of windows of each segment of a text."""
+def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Text, minimizer, content hash, first window and number of windows of each segment of some texts."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw) - window + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
+    sizes = np.array([len(t) for t in texts])
+    past = np.cumsum(sizes)
     sums = prefix_hash(raw)
     _, down = _POWERS.to(len(raw) + 1)
     gram = min(GRAM, window)
     grams = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
     least = sliding_least(grams, window - gram + 1)
     # a window whose least string is its first is the last of its segment, so a segment holds its minimizer once
-    new = (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1])
-    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-    counts = np.diff(np.append(starts, n))
+    new = np.ones(n + 1, bool)
+    new[1:n] = (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1])
+    # a text's windows end where it does: what would start behind lies in two texts
+    enough = sizes >= window
+    new[(past - sizes)[enough]] = new[past[enough] - window + 1] = True
+    starts = np.flatnonzero(new)
+    counts = np.diff(starts)
+    starts = starts[:-1]
+    owner = np.searchsorted(past, starts, "right")
+    inside = starts + window <= past[owner]
+    starts, counts, owner = starts[inside], counts[inside], owner[inside]
     ends = starts + counts + window - 1
     content = mixed((sums[ends] - sums[starts]) * down[starts] * _U(0xD6E8FEB86659FD93) + counts.astype(_U))
-    return least[starts].view(np.int64), content.view(np.int64), starts, counts
+    return owner, least[starts].view(np.int64), content.view(np.int64), starts - (past - sizes)[owner], counts
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -182,13 +194,17 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def minimizer_at(segment: bytes, window: int) -> int:
-    """Where in a segment its minimizer stands: at the first least string of its first window."""
+def minimizers_at(contents: list[bytes], window: int) -> list[int]:
+    """Where in each segment its minimizer stands: at the first least string of its first window."""
     gram = min(GRAM, window)
-    raw = np.frombuffer(segment[:window], np.uint8)
-    sums = prefix_hash(raw)
-    _, down = _POWERS.to(len(raw) + 1)
-    return int(mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]).argmin())
+    up, down = _POWERS.to(window + 1)
+    out: list[int] = []
+    for k in range(0, len(contents), 256):
+        raw = np.frombuffer(b"".join(c[:window] for c in contents[k : k + 256]), np.uint8).reshape(-1, window)
+        sums = np.zeros((len(raw), window + 1), _U)
+        np.cumsum((raw.astype(_U) + _U(1)) * up[:window], 1, out=sums[:, 1:])
+        out += mixed((sums[:, gram:] - sums[:, :-gram]) * down[: window - gram + 1]).argmin(1).tolist()
+    return out
 
 
 def around(segment: bytes, at: int, window: int, step: int = STEP) -> list[tuple[int, bytes]]:
@@ -206,9 +222,9 @@ def around(segment: bytes, at: int, window: int, step: int = STEP) -> list[tuple
     return out
 
 
-def parts(segment: bytes, window: int) -> list[int]:
+def parts(segment: bytes, at: int, window: int) -> list[int]:
     """The one or two groups of a finer deal that a segment is in: hashes, never 0, of long strings around its minimizer."""
-    held = around(segment, minimizer_at(segment, window), window, (window - min(GRAM, window)) // 2 + 1)
+    held = around(segment, at, window, (window - min(GRAM, window)) // 2 + 1)
     return [int.from_bytes(blake2b(b"%d " % left + text, digest_size=8).digest(), "little", signed=True) | 1 for left, text in held]
 
 
@@ -242,32 +258,48 @@ def _placed(window: int):
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tags, parts = [], [], []
-            size = 0
-            for k, text in enumerate(_bytes(batch.column(1))):
-                if len(text) >= window:
-                    own = segments(np.frombuffer(text, np.uint8), window)
-                    rows.append(np.full(len(own[0]), k))
-                    tags.append(np.full(len(own[0]), crc32(text) - 2**31, np.int32))
-                    parts.append(own)
-                    size += len(own[0])
+            found, size, first = [], 0, 0
+            for some in _together(_bytes(batch.column(1))):
+                owner, *own = segments(some, window)
+                tags = np.array([crc32(t) - 2**31 for t in some], np.int32)
+                found.append((owner + first, tags[owner], *own))
+                first += len(some)
+                size += len(owner)
                 if size > 1_000_000:
-                    yield _batch(batch, rows, tags, parts)
-                    rows, tags, parts, size = [], [], [], 0
-            if rows:
-                yield _batch(batch, rows, tags, parts)
+                    yield _batch(batch, found)
+                    found, size = [], 0
+            if size:
+                yield _batch(batch, found)
 
     return placed
 
 
-def _batch(batch: pa.RecordBatch, rows: list, tags: list, parts: list) -> pa.RecordBatch:
-    key, kind, start, windows = (np.concatenate(x) for x in zip(*parts))
+def _together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in runs of about HASHED bytes; a longer text is alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > HASHED:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def _batch(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    owner, tag, key, kind, start, windows = (np.concatenate(x) for x in zip(*found))
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(tags)), pa.array(key), pa.array(kind), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16))],
+        [batch.column(0).take(pa.array(owner)), pa.array(tag), pa.array(key), pa.array(kind), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16))],
         ["doc_id", "tag", "key", "kind", "start", "windows"],
     )
 
 
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The elements of all lists, and how many each list has; a null list has none."""
+    return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
 def _contents(window: int):
     """The bytes of the segments asked for, in part 0 of their minimizer or in the parts of the finer deal."""
 
@@ -277,18 +309,26 @@ def _contents(window: int):
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, size = ([], [], [], [], []), 0
-            for text, tag, asked in zip(_bytes(batch.column("text")), batch.column("tag").to_pylist(), batch.column("asked").to_pylist()):
+            asked, per_row = _flat(batch.column("asked"))
+            keys, kinds, ns, starts, ends, many = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("key", "kind", "n", "start", "windows", "many"))
+            single, ends = ns == 1, starts + ends.astype(np.int64) + window - 1
+            past = np.cumsum(per_row)
+            for text, tag, a, b in zip(_bytes(batch.column("text")), batch.column("tag").to_pylist(), (past - per_row).tolist(), past.tolist()):
                 if crc32(text) - 2**31 != tag:
                     continue
-                for x in asked:
-                    content = text[x["start"] : x["start"] + x["windows"] + window - 1]
-                    for part in parts(content, window) if x["many"] else (0,):
-                        for column, value in zip(columns, (x["key"], x["kind"], x["n"] == 1, part, content)):
-                            column.append(value)
-                        size += len(content)
-                    if size > HANDED:
-                        yield batch_of(*columns)
-                        columns, size = ([], [], [], [], []), 0
+                found = [text[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+                where = np.arange(a, b)
+                dealt: list[int] = [0] * (b - a)
+                if many[a:b].any():
+                    places = minimizers_at(found, window)
+                    fine = [parts(c, at, window) if m else [0] for c, at, m in zip(found, places, many[a:b].tolist())]
+                    found, where, dealt = [c for c, p in zip(found, fine) for _ in p], np.repeat(where, [len(p) for p in fine]), [x for p in fine for x in p]
+                for column, value in zip(columns, (keys[where], kinds[where], single[where], dealt, found)):
+                    column.extend(value)
+                size += sum(map(len, found))
+                if size > HANDED:
+                    yield batch_of(*columns)
+                    columns, size = ([], [], [], [], []), 0
             yield batch_of(*columns)
 
     return contents
@@ -309,11 +349,12 @@ def _arrays(window: int):
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in groups(batches, ["key", "part", "lo", "hi"]):
+        placed = (b.append_column("at", pa.array(minimizers_at(b.column("content").to_pylist(), window), pa.int16())) for b in batches)
+        for group in groups(placed, ["key", "part", "lo", "hi"]):
             if group.num_rows < 2:
                 continue
             contents = group.column("content").to_pylist()
-            picked = may_match(contents, [minimizer_at(c, window) for c in contents], group.column("single").to_pylist(), window)
+            picked = may_match(contents, group.column("at").to_pylist(), group.column("single").to_pylist(), window)
             if not picked:
                 continue
             group = group.take(pa.array(picked))
@@ -330,15 +371,14 @@ def _arrays(window: int):
     return arrays
 
 
-def covered(windows: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
-    """Byte runs under the windows that start in the given runs."""
-    out: list[list[int]] = []
-    for a, b in sorted(windows):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + window - 1)
-        else:
-            out.append([a, b + window - 1])
-    return [(a, b) for a, b in out]
+def covered(rows: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the byte runs under the windows that start in the given runs of each row, in order."""
+    base = rows.astype(np.int64) << 32  # no run reaches into the next row
+    order = np.argsort(base + a, kind="stable")
+    begins, ends = (base + a)[order], np.maximum.accumulate((base + b + (window - 1))[order])
+    new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]])[: len(begins)])
+    last = np.append(new[1:], len(begins))[: len(new)] - 1
+    return begins[new] >> 32, begins[new] & 0xFFFFFFFF, ends[last] & 0xFFFFFFFF
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -357,20 +397,27 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 def _remove(window: int, text_at: int, exact: bool):
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_bytes, n_removed, all_spans = [], [], [], []
-            for text, tag, places in zip(_bytes(batch.column(text_at)), batch.column("_tag").to_pylist(), batch.column("_places").to_pylist()):
-                own = [] if places is None or tag != crc32(text) - 2**31 else places
-                spans = covered([(p["start"] + s["a"], p["start"] + s["b"]) for p in own for s in p["spans"]], window)
-                cuts = spans if exact else whole_characters(text, spans)
-                kept.append(b"".join(text[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)])) if cuts else text)
-                n_bytes.append(len(text))
-                n_removed.append(sum(b - a for a, b in spans))
-                all_spans.append([{"a": a, "b": b} for a, b in spans])
+            texts = _bytes(batch.column(text_at))
+            places, per_row = _flat(batch.column("_places"))
+            spans, per_place = _flat(places.field("spans"))
+            row = np.repeat(np.repeat(np.arange(len(texts)), per_row), per_place)
+            start = np.repeat(places.field("start").to_numpy(zero_copy_only=False), per_place)
+            row, begins, ends = covered(row, *(start + spans.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b")), window)
+            offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+            n_removed = np.bincount(row, ends - begins, len(texts)).astype(np.int64)
+            kept = list(texts)
+            for k in np.unique(row).tolist():
+                text, own = texts[k], slice(offsets[k], offsets[k + 1])
+                cuts = list(zip(begins[own].tolist(), ends[own].tolist()))
+                cuts = cuts if exact else whole_characters(text, cuts)
+                kept[k] = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)]))
             columns = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_tag", "_places")]
             names = [n for n in batch.schema.names if n not in ("_tag", "_places")]
             remains = pa.array(kept, pa.binary())
             columns[text_at] = remains if exact else remains.cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(all_spans, _RUNS)], [*names, "_n_bytes", "_n_removed", "_spans"])
+            removed = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (begins, ends)], fields=list(_RUNS.value_type))
+            removed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), removed)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed), removed], [*names, "_n_bytes", "_n_removed", "_spans"])
 
     return remove
 
