@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._shared import id_and_text, sha256_hex, written
 
 #: Parameters: samples, those that one row makes, and bits of id that one window over ids spans.
-SAMPLES, PER_ROW, BUCKET_BITS = 24, 4, 12
+SAMPLES, PER_ROW, BUCKET_BITS = 32, 4, 12
 SAMPLE_BITS = 20
 #: Fixed value of the contracts: the white space between words.
 BETWEEN_WORDS, LAST_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*\z"

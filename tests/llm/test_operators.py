@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, chat, fingerprint, langid, linededup, minhash, packing, quality, sharding, suffix
+from brindle.llm import bpe, chat, fingerprint, langid, linededup, minhash, packing, quality, queries, sharding, suffix
 from brindle.llm._groups import connected_components
 
 RANKS, PATTERN, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -248,6 +248,13 @@ def test_fingerprints(docs):
     assert by[None][0]["near_next"] == 0 and by[4][0]["fingerprint"] == ""
 
 
+def test_registered_fingerprints_have_32_samples(spark):
+    got = queries.op7_fingerprint(spark, "/root/testdata/sf0.001").collect()
+    digits = fingerprint.SAMPLE_BITS // 4
+    assert got and all(len(r["fingerprint"]) in (0, 32 * digits) for r in got) and any(r["fingerprint"] for r in got)
+    assert all((32 * r[c]).is_integer() for r in got for c in ("near_edited", "near_next"))
+
+
 def test_next_ids(spark):
     ids = [-(1 << 62), -5000, -1, 0, 1, 4095, 4096, 70000, 1 << 40, (1 << 62) + 7]
     got = {r["doc_id"]: r["next_id"] for r in fingerprint.next_ids(spark.createDataFrame([(x,) for x in [*ids, 0, None]], "doc_id long")).collect()}
