@@ -56,6 +56,13 @@ def probe(centroids: dict[int, Sequence[float]], query: Sequence[float], n: int
     return [names[i] for i in np.lexsort((names, d))[: min(len(names), n or N_PROBE)]]
 
 
+def nearest_clusters(vector: Column, centroids: dict[int, Sequence[float]], n: int, metric: str = COSINE) -> Column:
+    """``probe`` as a column, for many queries: the n nearest clusters, ties to the lower one."""
+    table = F.array(*(F.struct(F.lit(c).alias("cluster"), F.lit([float(x) for x in v]).cast("array<float>").alias("centre")) for c, v in sorted(centroids.items())))
+    near = F.array_sort(F.transform(table, lambda t: F.struct(distance(metric, vector, t["centre"]).alias("dist"), t["cluster"].alias("cluster"))))
+    return F.transform(F.slice(near, 1, n), lambda x: x["cluster"])
+
+
 def reseed(centroids: dict[int, list[float]], rows: DataFrame, missing: list[int], metric: str) -> None:
     """Empty clusters take the points farthest from their centres."""
     far = rows.select("vector", "id", nearest(F.col("vector"), {c: v for c, v in centroids.items() if c not in missing}, metric)["dist"].alias("d"))

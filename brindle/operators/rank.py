@@ -31,6 +31,13 @@ def batch_top_vectors(rows: DataFrame, queries: dict[str, Sequence[float]], k: i
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def join_top_vectors(rows: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = COSINE) -> DataFrame:
+    """The k nearest of each of any number of queries (query, q): a join in place of literals, so the plan doesn't grow with them."""
+    scored = rows.where("vector is not null").select("id", "vector").crossJoin(queries).select("query", "id", distance(metric, F.col("vector"), F.col("q")).alias("dist"))
+    order = Window.partitionBy("query").orderBy("dist", "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``term, id, tf`` of ``docs`` (id, text)."""
     return docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -81,6 +81,16 @@ def vec_batch_topk(spark, sf):
     return rank.batch_top_vectors(rows, asked).select("query", "id", "rank", r6("dist"))
 
 
+def _hundredth(spark, sf):
+    """The queries of searches: every row whose id is divisible by 100."""
+    return vectors(spark, sf).where(F.col("vec_id") % 100 == 0).select(F.col("id").alias("query"), F.col("vector").alias("q"))
+
+
+@query
+def vec_batch_topk_hundredth(spark, sf):
+    return rank.join_top_vectors(vectors(spark, sf), _hundredth(spark, sf)).select("query", "id", "rank", r6("dist"))
+
+
 def _filtered(spark, sf, spec):
     rows = vectors(spark, sf)
     where = filters.compile_filter(spec, filters.typed_field(rows))
@@ -450,3 +460,14 @@ def recall_at_k(spark, sf):
     order = Window.partitionBy("query").orderBy("dist", "id")
     found = placed.select("query", "id", vector.cosine_distance(F.col("vector"), q).alias("dist")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
     return measure.recall(exact, found).select("query", "hits", r6("recall"))
+
+
+@query
+def recall_at_k_hundredth(spark, sf):
+    """Recall at 10 of three probed clusters, for every row whose id is divisible by 100."""
+    rows, centroids, asked = vectors(spark, sf), _label_means(spark, sf), _hundredth(spark, sf)
+    probes = asked.select("query", "q", F.explode(ivf.nearest_clusters(F.col("q"), centroids, 3)).alias("cluster"))
+    placed = ivf.assign(rows, centroids).select("id", "vector", "cluster").join(probes, "cluster")
+    order = Window.partitionBy("query").orderBy("dist", "id")
+    found = placed.select("query", "id", vector.cosine_distance(F.col("vector"), F.col("q")).alias("dist")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return measure.recall(rank.join_top_vectors(rows, asked), found).select("query", "hits", r6("recall"))

@@ -27,3 +27,10 @@ def test_query_matches_sql(spark, duck, name):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     got = sorted((tuple(r) for r in df.select(*columns).collect()), key=key)
     assert got == sorted(duck.sql(f"select {','.join(columns)} from ({ORACLES[name]})").fetchall(), key=key)
+
+
+@pytest.mark.parametrize("name", ["vec_batch_topk_hundredth", "recall_at_k_hundredth"])
+def test_batches_take_every_hundredth_row(spark, name):
+    sf = "/root/testdata/sf0.1"
+    want = {str(r[0]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    assert {r["query"] for r in QUERIES[name](spark, sf).select("query").distinct().collect()} == want and len(want) == 20
