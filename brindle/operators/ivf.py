@@ -6,6 +6,7 @@ Centroids number about the root of the vectors; they are held on the driver and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import COSINE, choose_k, distance
 
-#: Lloyd passes at most, clusters probed, fan-out of the routing tree, rows exactly scored per result.
-PASSES, N_PROBE, FANOUT, RERANK = 25, 3, 8, 4
+#: Lloyd passes at most, fan-out of the routing tree, rows exactly scored per result of a shortlist.
+PASSES, FANOUT, RERANK = 25, 8, 4
+#: Parameter: the share of clusters, or of the rows in them, that is searched unless a number of clusters is given.
+SHARE = 0.75
 
 
 def means(rows: DataFrame, by: str) -> DataFrame:
@@ -49,11 +52,21 @@ def np_distance(metric: str, points: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(scale == 0, 1.0, 1 - np.clip((points * q).sum(-1) / np.where(scale == 0, 1, scale), -1, 1))
 
 
-def probe(centroids: dict[int, Sequence[float]], query: Sequence[float], n: int = N_PROBE, metric: str = COSINE) -> list[int]:
-    """The n nearest clusters, ties to the lower one."""
+def probe(centroids: dict[int, Sequence[float]], query: Sequence[float], n: int = 0, metric: str = COSINE) -> list[int]:
+    """The n nearest clusters, or SHARE of them; ties to the lower one."""
     names = sorted(centroids)
     d = np_distance(metric, np.array([centroids[c] for c in names], np.float32), np.array(query, np.float32))
-    return [names[i] for i in np.lexsort((names, d))[: min(len(names), n or N_PROBE)]]
+    return [names[i] for i in np.lexsort((names, d))[: min(len(names), n or ceil(SHARE * len(names)))]]
+
+
+def enough(order: Sequence[int], sizes: dict[int, int], k: int) -> list[int]:
+    """The shortest start of ``order`` whose clusters hold SHARE of the rows counted in ``sizes``, and k of them if there are as many."""
+    want, held = max(min(k, sum(sizes.values())), ceil(SHARE * sum(sizes.values()))), 0
+    for at, c in enumerate(order):
+        if held >= want:
+            return list(order[:at])
+        held += sizes.get(c, 0)
+    return list(order)
 
 
 def nearest_clusters(vector: Column, centroids: dict[int, Sequence[float]], n: int, metric: str = COSINE) -> Column:

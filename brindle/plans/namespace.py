@@ -315,8 +315,13 @@ class Namespace:
         return top.select("id", "dist", F.to_json("attributes").alias("attributes"))
 
     def _shortlist(self, m: Manifest, meta: dict, q: list[float], k: int, allowed: DataFrame, n_probe: int) -> DataFrame:
-        """Ids of the probed clusters with the best estimates among those that the filter leaves."""
+        """Ids that the filter leaves in the nearest clusters: all of as many clusters as hold SHARE of them and k, so that
+        the searched share doesn't shrink as clusters grow; of ``n_probe`` clusters, if given, those with the best estimates."""
         centroids = {int(c): x for c, x in meta["centroids"].items()}
+        if not n_probe:
+            placed = self.spark.read.parquet(f"{meta['path']}/vectors").select("id", "cluster").join(allowed, "id", "left_semi")
+            sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # clusters
+            return placed.where(F.col("cluster").isin(ivf.enough(ivf.probe(centroids, q, len(centroids), m.metric), sizes, k))).select("id")
         probes = ivf.probe(centroids, q, n_probe, m.metric)
         codes = self.spark.read.parquet(f"{meta['path']}/vectors").where(F.col("cluster").isin(probes)).join(allowed, "id", "left_semi")
         est = quant.estimates(codes, {c: centroids[c] for c in probes}, np.array(q, np.float32), m.metric, m.dimension)

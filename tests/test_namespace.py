@@ -2,9 +2,11 @@ import json
 import random
 import threading
 
+import numpy as np
 import pytest
 
 from brindle import cli
+from brindle.operators import ivf
 from brindle.plans.namespace import Config, Namespace, QueryError
 from brindle.sources.store import FileStore, HadoopStore, MemoryStore, NotFound, PreconditionFailed
 from brindle.streaming.commit import Committer, CommitterClosed
@@ -139,6 +141,36 @@ def test_approximate_is_exact_when_lossless(space):
     assert len(set(ns.prefilter_shortlist(q, 20)) & set(ids(ns.query(vector=q, top_k=5)))) >= 4
 
 
+def test_default_approximate_recall(spark, space):
+    """Recall at 10 against brute force, the rows whose id is divisible by 100 as queries; under a filter too."""
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    points = np.array([r["embedding"] for r in table], float)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    ns = space("recall", Config(len(points[0]), "cosine"))
+    ns.upsert([doc(str(r["vec_id"]), list(r["embedding"]), label=r["label"]) for r in table])
+    ns.index()
+    hits = {None: [], 3: []}
+    for n, r in enumerate(table):
+        if r["vec_id"] % 100 == 0:
+            for label, found in hits.items():
+                if label is None or n < 200:
+                    kept = [k for k in range(len(table)) if label is None or table[k]["label"] == label]
+                    best = sorted(kept, key=lambda k: -(points[k] @ points[n]))[:10]  # noqa: B023
+                    where = None if label is None else {"op": "eq", "field": "label", "value": label}
+                    got = ids(ns.query(vector=list(r["embedding"]), where=where, approx=True))
+                    assert len(got) == 10
+                    found.append(len({str(table[k]["vec_id"]) for k in best} & set(got)) / 10)
+    print({k: (len(v), sum(v) / len(v)) for k, v in hits.items()})
+    assert len(hits[None]) == 5 and all(sum(v) / len(v) >= 0.9 for v in hits.values())
+
+
+def test_scarce_matches_widen_the_search():
+    assert ivf.enough([2, 0, 1], {2: 90, 0: 5, 1: 5}, 10) == [2]
+    assert ivf.enough([2, 0, 1], {0: 3, 1: 4}, 10) == [2, 0, 1]
+    assert ivf.enough([2, 0, 1], {2: 9, 0: 2, 1: 1}, 10) == [2, 0]
+    assert len(ivf.probe({c: [float(c), 1.0] for c in range(40)}, [0.0, 1.0])) == 30
+
+
 def test_queue():
     clock = [10]
     q = Queue(MemoryStore(), now=lambda: clock[0])
