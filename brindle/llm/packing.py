@@ -31,29 +31,30 @@ CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC, GROUP_BYTES = 1.0, 1.0 / 1024, 8_000_000
 
 
-@lru_cache(2)
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+@lru_cache(4)
+def encoder(path: str, pattern: str, added: bool = False) -> tiktoken.Encoding:
     """The byte-level BPE of a ``tokenizers`` file, whose ids are in the order of its merges.
 
-    It gives the ids of that library (a test holds them together) in a quarter of the time."""
+    It gives the ids of that library (a test holds them together) in a quarter of the time. With ``added``, the file's
+    added tokens get their ids where a text contains them, as that library does by default; else they are plain text."""
     with open(path, encoding="utf-8") as file:
-        vocabulary, special = (spec := json.load(file))["model"]["vocab"], {x["content"] for x in spec.get("added_tokens", [])}
+        vocabulary, special = (spec := json.load(file))["model"]["vocab"], {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as they are
     letter = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
     known = {bytes(letter[c] for c in token): number for token, number in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens=special if added else {})
 
 
-def _parts(path: str, pattern: str, capacity: int, end_id: int):
+def _parts(path: str, pattern: str, capacity: int, end_id: int, added: bool):
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, added)
         end = np.array([end_id])
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 rows = batch.slice(at, 128)
                 picked, starts, totals, found = [], [], [], []
                 for k, text in enumerate(rows.column(1).to_pylist()):
-                    ids = np.concatenate([enc.encode_to_numpy(text, disallowed_special=()), end])
+                    ids = np.concatenate([enc.encode_to_numpy(text, allowed_special=enc.special_tokens_set, disallowed_special=()), end])
                     ids = ids.astype("<u2" if enc.n_vocab < 65_536 else "<u4")
                     cuts = range(0, len(ids), capacity)
                     picked += [k] * len(cuts)
@@ -113,9 +114,10 @@ def _pack_group(capacity: int, linear: float, quadratic: float):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, group_bytes: int = GROUP_BYTES, added: bool = False) -> DataFrame:
     """``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset`` of each piece.
 
+    With ``added``, added tokens of the tokenizer that a text contains get their own ids.
     The number of groups follows the bytes of text; parts, not documents, are dealt, so a long document
     spreads over groups and every group stays near ``group_bytes``."""
     if capacity & (capacity - 1):
@@ -124,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: s
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(_parts(tokenizer_path, pattern, capacity, end_id), f"doc_id {kind}, start long, doc_tokens long, width int, ids binary")
+    parts = rows.mapInArrow(_parts(tokenizer_path, pattern, capacity, end_id, added), f"doc_id {kind}, start long, doc_tokens long, width int, ids binary")
     dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(
         _pack_group(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -80,6 +82,21 @@ def test_packing(docs):
         assert at <= 64 and at & (at - 1) == 0
 
 
+@pytest.mark.parametrize("run", [queries.op4_packing, lambda spark, sf: corpus_pipeline.pack(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)])
+def test_registered_packing_knows_added_tokens(spark, tmp_path, run):
+    tok = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", " <|endoftext|>é<|endoftext", "plain  text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.defaultdict(list)
+    for r in run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for k, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [1]
+        assert sorted(got[k]) == [(s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()), len(ids)) for s, n, _, _ in sorted(got[k])]
+        assert sum(n for _, n, _, _ in got[k]) == len(ids)
+
+
 def test_packing_balances_cost():
     random.seed(1)
     lengths = [random.randint(1, 600) for _ in range(1000)]
