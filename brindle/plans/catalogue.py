@@ -471,3 +471,33 @@ def recall_at_k_hundredth(spark, sf):
     order = Window.partitionBy("query").orderBy("dist", "id")
     found = placed.select("query", "id", vector.cosine_distance(F.col("vector"), F.col("q")).alias("dist")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
     return measure.recall(rank.join_top_vectors(rows, asked), found).select("query", "hits", r6("recall"))
+
+
+def _half(spark, sf, name, key):
+    """Ids below it are the indexed half, whatever the table's size; the others are the tail."""
+    return ((table(spark, sf, name).agg(F.max(key)).first()[0] or 0) + 1) // 2
+
+
+@query
+def bm25_tail_overlay_half(spark, sf):
+    """Statistics of the indexed half score the tail too."""
+    docs = documents(spark, sf)
+    stats = rank.Stats.of(docs.where(F.col("doc_id") < _half(spark, sf, "documents", "doc_id")), text.query_terms(QUERY_TEXT))
+    return rank.top_texts(docs, QUERY_TEXT, stats).select("id", r6("score"))
+
+
+def _overlay_half(spark, sf):
+    """The indexed half under a tail that begins a fifth of it earlier."""
+    rows, half = vectors(spark, sf), _half(spark, sf, "embeddings", "vec_id")
+    tail = rows.where(F.col("vec_id") >= half - half // 5).withColumn("deleted", F.col("vec_id") % 7 == 0)
+    return rank.overlay(rows.where(F.col("vec_id") < half), tail.withColumn("vector", F.when(F.col("vec_id") % 5 != 0, F.col("vector"))))
+
+
+@query
+def overlay_vec_half(spark, sf):
+    return _ranked(rank.top_vectors(_overlay_half(spark, sf), query_vector(spark, sf)))
+
+
+@query
+def overlay_tombstone_half(spark, sf):
+    return _overlay_half(spark, sf).select("id", F.col("vector").isNotNull().alias("has_vector"))

@@ -157,3 +157,8 @@ ORACLES = {
 
 # the same for every row whose id is divisible by 100
 ORACLES |= {f"{name}_hundredth": ORACLES[name].replace(f"vec_id < {BATCH}", "vec_id % 100 = 0") for name in ("vec_batch_topk", "recall_at_k")}
+
+# the same with half of the table indexed
+_EARLY = "(SELECT (max(vec_id) + 1) // 2 - (max(vec_id) + 1) // 2 // 5 FROM embeddings)"
+ORACLES |= {f"{name}_half": ORACLES[name].replace(f"vec_id >= {SPLIT - 100}", f"vec_id >= {_EARLY}").replace(f"vec_id < {SPLIT - 100}", f"vec_id < {_EARLY}") for name in ("overlay_vec", "overlay_tombstone")}
+ORACLES["bm25_tail_overlay_half"] = ORACLES["bm25_tail_overlay"].replace(f"doc_id < {SPLIT}", "doc_id < (SELECT (max(doc_id) + 1) // 2 FROM documents)")

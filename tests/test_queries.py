@@ -34,3 +34,12 @@ def test_batches_take_every_hundredth_row(spark, name):
     sf = "/root/testdata/sf0.1"
     want = {str(r[0]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
     assert {r["query"] for r in QUERIES[name](spark, sf).select("query").distinct().collect()} == want and len(want) == 20
+
+
+def test_half_is_indexed(spark):
+    from brindle.plans import catalogue
+
+    for sf, most in ((SF, 200), ("/root/testdata/sf0.1", 10000)):
+        rows = catalogue.documents(spark, sf)
+        half = catalogue._half(spark, sf, "documents", "doc_id")
+        assert 0.4 * most <= rows.where(f"doc_id < {half}").count() <= 0.6 * most == 0.6 * rows.count()
