@@ -3,11 +3,13 @@
 A text longer than a chunk is cut into chunks that overlap; the chunks are pre-tokenised on their own,
 in parallel. Two chunks have resynchronised at a boundary which both find in their overlap: from there on
 both see the same pre-tokens. There the text is cut into pieces, which are encoded in parallel; the ids of
-the pieces follow each other. Up to the first overlap without such a boundary (a pre-token longer than the
-overlap) this is proven; what follows it stays one piece. Decoding concatenates the bytes of the ids.
+the pieces follow each other. Two chunks without such a boundary in their overlap (inside a pre-token longer
+than it) are one piece, and with them no others. Decoding concatenates the bytes of the ids.
 
-A boundary only counts if no white space stands before it, since the look-ahead of the pattern makes a run
-of white space depend on what follows; and a chunk's boundary counts only where its end can't change it.
+A boundary counts only where the kinds of the two code points at it (letter, number, space, other) decide it
+for this pattern, whatever stands before and after, and only between code points of which all versions of
+Unicode since 3.2 say the same kind. So it is one for whoever reads the text, from wherever, and a missed
+overlap says nothing about the next.
 
 Defined cases: null text is empty and has no ids; rows that share an id and differ in text are separate
 documents; equal rows each give a row; an empty table gives an empty result; extra columns are ignored.
@@ -16,6 +18,7 @@ documents; equal rows each give a row; an empty table gives an empty result; ext
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -31,8 +34,10 @@ from ._shared import id_and_text, written
 
 #: Parameters, in characters.
 CHUNK, OVERLAP = 16_384, 512
-#: A match that starts in a chunk's last characters may lack part of the longest fixed alternative ('re, 've, 'll).
-LONGEST_FIXED = 3
+#: White space that is not of a category Z, and what some readers alone take for white space.
+CONTROL_SPACES, DOUBTFUL = "\t\n\x0b\x0c\r\x85", "\x1c\x1d\x1e\x1f"
+#: Code points of each kind that a pattern is tried with.
+SAMPLES = {"letter": "as字", "number": "1٣", "space": " \n\u3000", "other": "'!。"}
 
 
 @lru_cache(4)
@@ -55,13 +60,33 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def boundaries(text: str, pattern: str) -> np.ndarray:
-    """Where pre-tokens start that may be cut at, if the text goes on after its end."""
-    found = [m.start() for m in regex.compile(pattern).finditer(text)]
-    ends = [*found[1:], len(text)]
-    plain = lambda x, y: y in " \t\n\r" or x < "\x80" and y < "\x80"  # noqa: E731  classes that no version of Unicode changes
-    sure = [b for a, b in zip(found, ends) if b < len(text) and a + LONGEST_FIXED <= len(text) and not text[b - 1].isspace() and plain(text[b - 1], text[b])]
-    return np.array(sure, np.int32)
+@lru_cache(None)
+def kind(c: str) -> str:
+    """Letter, number, space or other; nothing where versions of Unicode disagree or the code point is not assigned."""
+    if c in DOUBTFUL:
+        return ""
+    if c in CONTROL_SPACES:
+        return "space"
+    now, then = (tables.category(c) for tables in (unicodedata, unicodedata.ucd_3_2_0))
+    kinds = {"" if x in ("Cn", "Cs") else {"L": "letter", "N": "number", "Z": "space"}.get(x[0], "other") for x in (now, then)}
+    return kinds.pop() if len(kinds) == 1 else ""
+
+
+@lru_cache(4)
+def decided(pattern: str) -> frozenset[tuple[str, str]]:
+    """The kinds of neighbours between which the pattern always starts a match: those between which it does in every
+    context of samples, of up to two code points before and one after."""
+    find = regex.compile(pattern).finditer
+    single = [c for own in SAMPLES.values() for c in own]
+    before, after = ["", *single, *(a + b for a in single for b in single)], ["", *single]
+    splits = lambda x, y: all(any(m.start() == len(a) + 1 for m in find(a + x + y + b)) for a in before for b in after)
+    return frozenset((one, two) for one, xs in SAMPLES.items() for two, ys in SAMPLES.items() if all(splits(x, y) for x in xs for y in ys))
+
+
+def boundaries(text: str, pattern: str, pairs: frozenset[tuple[str, str]]) -> np.ndarray:
+    """Where pre-tokens start that may be cut at, whatever stands before and after the text."""
+    found = (m.start() for m in regex.compile(pattern).finditer(text))
+    return np.array([b for b in found if b and (kind(text[b - 1]), kind(text[b])) in pairs], np.int32)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -100,11 +125,13 @@ def _chunks(chunk: int, overlap: int):
 
 
 def _zones(pattern: str, chunk: int, overlap: int):
+    pairs = decided(pattern)
+
     def zones(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             for text in batch.column("text").to_pylist():
-                found = boundaries(text, pattern)
+                found = boundaries(text, pattern, pairs)
                 left.append(found[found < overlap])
                 right.append(found[found >= chunk] - chunk)
             keys = [batch.column(x) for x in ("doc_id", "text_key", "chunk")]
@@ -123,13 +150,12 @@ def pieces_of(long_docs: DataFrame, pattern: str, chunk: int, overlap: int) -> D
     order = Window.partitionBy(*key).orderBy("chunk")
     cut = F.array_min(F.array_intersect(F.lag("right").over(order), F.col("left")))
     cuts = zones.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(cut))
-    stuck = F.min(F.when(F.col("cut").isNull(), F.col("chunk") - 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cuts = cuts.withColumn("stuck", stuck).withColumn("next_cut", F.lead(F.when(F.col("stuck").isNull(), F.col("cut"))).over(order)).withColumn("end", F.lead("chunk").over(order).isNull())
-    piece = F.coalesce("stuck", "chunk")
-    joins = F.coalesce(F.lead("stuck").over(order) == piece, F.lit(False)) | F.col("stuck").isNotNull()
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in (*key, "chunk")), "cut", "stuck", "next_cut", "end", piece.alias("piece"), joins.alias("joins"))
+    piece = F.max(F.when(F.col("cut").isNotNull(), F.col("chunk"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = cuts.withColumn("piece", piece).withColumn("next_cut", F.lead("cut").over(order)).withColumn("end", F.lead("chunk").over(order).isNull())
+    joins = F.col("cut").isNull() | F.coalesce(F.lead("piece").over(order) == F.col("piece"), F.lit(False))
+    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in (*key, "chunk")), "cut", "next_cut", "end", "piece", joins.alias("joins"))
     joined = chunks.join(cuts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("chunk") == F.col("_chunk")))
-    first = F.when(F.col("stuck").isNull(), F.col("cut")).otherwise(0)
+    first = F.coalesce("cut", F.lit(0))
     last = F.when(F.col("end"), F.length("text")).otherwise(chunk + F.coalesce("next_cut", F.lit(0)))
     parts = joined.select(*key, "chunk", "piece", "joins", F.substr("text", first + 1, F.greatest(last - first, F.lit(0))).alias("text"))
     # a chunk that resynchronised is a piece as it stands; only what follows a chunk that did not is put together

@@ -50,12 +50,42 @@ def test_bpe_round_trip(docs, chunk, overlap):
     assert bag((r["doc_id"], list(r["ids"]), bytes(r["decoded"]).decode()) for r in coded.collect()) == bag((i, enc.encode_ordinary(t), t) for i, t in rows(docs))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab 'srel\n\t1!é", min_size=1, max_size=60), st.integers(1, 40))
-def test_boundaries_hold_whatever_follows(text, cut):
-    head = text[:cut]
-    starts = {m.start() for m in bpe.regex.finditer(PATTERN, text)}
-    assert {int(b) for b in bpe.boundaries(head, PATTERN)} <= starts | {len(text)}
+MIXED = "ab 'srel\n\t1!é字。ก่\u3000\u00a0٣\x1c\x85\u180e"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=MIXED, max_size=30), st.text(alphabet=MIXED, min_size=1, max_size=60), st.text(alphabet=MIXED, max_size=30))
+def test_boundaries_hold_whatever_surrounds_them(before, text, after):
+    ids = bpe.encoder(RANKS, PATTERN).encode_ordinary
+    whole = before + text + after
+    for b in bpe.boundaries(text, PATTERN, bpe.decided(PATTERN)).tolist():
+        at = len(before) + b
+        assert at in {m.start() for m in bpe.regex.finditer(PATTERN, whole)}
+        assert ids(whole) == ids(whole[:at]) + ids(whole[at:])
+
+
+def test_decided_kinds():
+    assert bpe.decided(PATTERN) == {(a, b) for a in ("letter", "number", "other") for b in ("letter", "number", "space", "other") if a != b} - {("other", "letter")}
+    assert bpe.decided(r"\p{N}{1,3}|[^\p{N}]+") >= {("letter", "number"), ("number", "letter")} and ("number", "number") not in bpe.decided(r"\p{N}{1,3}|[^\p{N}]+")
+
+
+def test_long_texts_of_any_script_are_cut(spark):
+    """At the default chunk: Chinese, Thai, and a text with a stretch without boundaries in its middle."""
+    random.seed(6)
+    clause = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    texts = [
+        "，".join(clause("中文漢字語言模型訓練數據", random.randint(3, 30)) + "。" * (k % 3 == 0) for k in range(20_000)),
+        "".join(clause("กขคงจฉชซ", 3) + "่" for _ in range(90_000)),
+        " ".join(["plain words"] * 4000) + "x" * 60_000 + " ".join(["more words"] * 8000),
+        "字" * 100_000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = {r["doc_id"]: (r["n"], r["longest"]) for r in bpe.pieces_of(docs, PATTERN, bpe.CHUNK, bpe.OVERLAP).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).collect()}
+    assert pieces[0][0] == -(-(len(texts[0]) - bpe.OVERLAP) // bpe.CHUNK) > 10 and pieces[1][0] == -(-(len(texts[1]) - bpe.OVERLAP) // bpe.CHUNK) > 10
+    assert pieces[2][0] > 6 and pieces[2][1] < 60_000 + 3 * bpe.CHUNK and pieces[3][0] == 1
+    enc = bpe.encoder(RANKS, PATTERN)
+    got = {r["doc_id"]: (list(r["ids"]), bytes(r["decoded"]).decode()) for r in bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS).collect()}
+    assert got == {k: (enc.encode_ordinary(t), t) for k, t in enumerate(texts)}
 
 
 def test_packing(docs):
