@@ -1,6 +1,6 @@
 """MinHash near-dedup with b-bit signatures and an exact confirmation.
 
-Documents are sets of hashed 5-word shingles. Equal sets are one class from the start. Of each class 128
+Documents are sets of hashed 5-word shingles (64 bits made of a blake2b hash of each word). Equal sets are one class from the start. Of each class 128
 minima are taken; bands of four give candidate buckets, and the low four bits of each minimum make a packed
 signature of 64 bytes. In a bucket every pair is compared by counting equal lanes, corrected for the
 lanes that agree by chance; pairs estimated at ``estimate`` or more tie their classes into a clump. In a
@@ -9,7 +9,8 @@ clump all full sets are compared exactly, and the links make the components.
 Nothing is dropped from large buckets or clumps: they are dealt to blocks and every pair of blocks is
 compared in a task of its own. Only edges that join something are passed on, so rows grow with documents,
 not with pairs. What can be missed is a pair at 0.75 or more that no band catches (0.684 ** 32, 5 in a
-million) or whose estimate is five deviations low.
+million) or whose estimate is five deviations low. What can be linked by mistake are sets of which that many
+64-bit hashes agree by chance, since sets are compared by the hashes of their shingles, not by their words.
 
 Defined cases: null or blank text has an empty set, 0 shingles, and is its own component; with fewer than
 five words the whole sequence is the one shingle; rows that share a ``doc_id`` are one document with the
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import Union, block_pairs, connected_components, groups
-from ._shared import ASCII_SPACE, id_and_text, written
+from ._hashing import BASE, WordHashes, mixed
+from ._shared import id_and_text, written
 
 #: Fixed values of the contract: words in a shingle, and 100 * intersection >= 75 * union.
 WORDS, PERCENT = 5, 75
@@ -39,53 +41,15 @@ MINIMA, ROWS_IN_BAND, BITS, ESTIMATE = 128, 4, 4, 0.55
 BUCKET_BLOCK, CLUMP_BLOCK = 1024, 4_000_000
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[list(ASCII_SPACE)] = True
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit values."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class Powers:
-    """Powers of the (odd) base of the polynomial hash and of its inverse, as far as asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            inverse = _U(pow(int(_BASE), -1, 1 << 64))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, b, _U)])) for b in (_BASE, inverse))
-        return self.up, self.down
-
-
-_POWERS = Powers()
-
-
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """``sums`` such that ``(sums[b] - sums[a]) * down[a]`` is a hash of ``raw[a:b]`` alone."""
-    up, _ = _POWERS.to(len(raw) + 1)
-    return np.concatenate([np.zeros(1, _U), np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], dtype=_U)])
+_WORDS = WordHashes()
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles."""
-    raw = np.frombuffer(text.lower(), np.uint8)
-    word = np.concatenate([[False], ~_SPACE[raw], [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    n = len(starts)
+    words = _WORDS.of(text.lower().split())  # bytes split at exactly the six ASCII white-space characters, and lower A-Z alone
+    n = len(words)
     if not n:
         return np.zeros(0, _U)
-    sums = prefix_hash(raw)
-    _, down = _POWERS.to(len(raw) + 1)
-    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
     span = min(n, WORDS)
     out = np.full(n - span + 1, _U(span), _U)
     for k in range(span):
@@ -94,7 +58,7 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    a = mixed(np.arange(1, MINIMA + 1, dtype=_U) * _BASE) | _U(1)
+    a = mixed(np.arange(1, MINIMA + 1, dtype=_U) * BASE) | _U(1)
     return a, mixed(np.arange(1, MINIMA + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
 
 

@@ -14,7 +14,8 @@ The suffix array is built by grouping, without recursion or renaming: the groups
 Lyndon prefix when they are done, are processed in descending order; each looks for the previous smaller
 suffix of its members and moves these up to a group of their own, and a last pass emits each group in order.
 
-Nothing depends on hashes but the dealing and the equality of segments (128 bits with their minimizer).
+Nothing depends on hashes but the dealing and the equality of segments: 64 bits of blake2b among those of one
+minimizer.
 
 Defined cases: null text is empty; a text below ``window`` bytes loses nothing; rows that share a ``doc_id``
 are separate texts (32 bits of a text hash tell them apart), and equal rows repeat each other; a null
@@ -34,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import block_pairs, groups
+from ._hashing import POWERS, mixed, prefix_hash
 from ._shared import written
-from .minhash import _POWERS, mixed, prefix_hash
 
 #: Fixed value of the contract.
 WINDOW = 200
@@ -168,7 +169,7 @@ def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts])
     past = np.cumsum(sizes)
     sums = prefix_hash(raw)
-    _, down = _POWERS.to(len(raw) + 1)
+    _, down = POWERS.to(len(raw) + 1)
     gram = min(GRAM, window)
     grams = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
     least = sliding_least(grams, window - gram + 1)
@@ -185,8 +186,9 @@ def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     inside = starts + window <= past[owner]
     starts, counts, owner = starts[inside], counts[inside], owner[inside]
     ends = starts + counts + window - 1
-    content = mixed((sums[ends] - sums[starts]) * down[starts] * _U(0xD6E8FEB86659FD93) + counts.astype(_U))
-    return owner, least[starts].view(np.int64), content.view(np.int64), starts - (past - sizes)[owner], counts
+    whole = raw.tobytes()
+    content = b"".join([blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return owner, least[starts].view(np.int64), np.frombuffer(content, "<i8"), starts - (past - sizes)[owner], counts
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -197,7 +199,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def minimizers_at(contents: list[bytes], window: int) -> list[int]:
     """Where in each segment its minimizer stands: at the first least string of its first window."""
     gram = min(GRAM, window)
-    up, down = _POWERS.to(window + 1)
+    up, down = POWERS.to(window + 1)
     out: list[int] = []
     for k in range(0, len(contents), 256):
         raw = np.frombuffer(b"".join(c[:window] for c in contents[k : k + 256]), np.uint8).reshape(-1, window)

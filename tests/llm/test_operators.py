@@ -184,6 +184,17 @@ def test_near_duplicates(docs, monkeypatch):
     assert sum(not w[3] for w in want) >= 3
 
 
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_with_equal_polynomials_are_told_apart(spark, size):
+    """Thue-Morse words and their complements agree under every polynomial hash modulo 2 ** 64 with an odd base."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    other = word.translate({97: 98, 98: 97})
+    assert not len(np.intersect1d(minhash.shingles(word.encode()), minhash.shingles(other.encode())))
+    made = [(1, word), (2, other), (3, f"{word} {other} x y z"), (4, f"{other} {word} x y z"), (5, other)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
 def test_blocks_of_pairs_find_all_links(spark):
     random.seed(5)
     sets = [np.unique(np.array([random.randint(0, 60) for _ in range(30)], np.uint64)) for _ in range(60)]
