@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,12 @@ LINEAR, QUADRATIC, GROUP_BYTES = 1.0, 1.0 / 1024, 8_000_000
 
 
 @lru_cache(4)
-def encoder(path: str, pattern: str, added: bool = False) -> tiktoken.Encoding:
+def encoder(path: str, pattern: str, added: bool = True) -> tiktoken.Encoding:
     """The byte-level BPE of a ``tokenizers`` file, whose ids are in the order of its merges.
 
-    It gives the ids of that library (a test holds them together) in a quarter of the time. With ``added``, the file's
-    added tokens get their ids where a text contains them, as that library does by default; else they are plain text."""
+    It gives the ids of that library (a test holds them together) in a quarter of the time. The file's added tokens get
+    their ids where a text contains them, as that library does by default; without ``added`` they are plain text, as with
+    its ``encode_special_tokens``."""
     with open(path, encoding="utf-8") as file:
         vocabulary, special = (spec := json.load(file))["model"]["vocab"], {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as they are
@@ -49,21 +53,25 @@ def _parts(path: str, pattern: str, capacity: int, end_id: int, added: bool):
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern, added)
         end = np.array([end_id])
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 rows = batch.slice(at, 128)
-                picked, starts, totals, found = [], [], [], []
-                for k, text in enumerate(rows.column(1).to_pylist()):
+                picked, starts, totals, found, copies = [], [], [], [], []
+                for k, (doc_id, text) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+                    row = blake2b(f"{doc_id!r} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
                     ids = np.concatenate([enc.encode_to_numpy(text, allowed_special=enc.special_tokens_set, disallowed_special=()), end])
                     ids = ids.astype("<u2" if enc.n_vocab < 65_536 else "<u4")
                     cuts = range(0, len(ids), capacity)
+                    copies += [seen[row]] * len(cuts)
+                    seen[row] += 1
                     picked += [k] * len(cuts)
                     starts += cuts
                     totals += [len(ids)] * len(cuts)
                     found += [ids[x : x + capacity].tobytes() for x in cuts]
                 doc_ids = rows.column(0).take(pa.array(picked, pa.int64()))
                 width = 2 if enc.n_vocab < 65_536 else 4
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array([width] * len(starts), pa.int32()), pa.array(found, pa.binary())], ["doc_id", "start", "doc_tokens", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array([width] * len(starts), pa.int32()), pa.array(found, pa.binary()), pa.array([task] * len(starts), pa.int32()), pa.array(copies, pa.int64())], ["doc_id", "start", "doc_tokens", "width", "ids", "task", "copy"])
 
     return parts
 
@@ -114,20 +122,20 @@ def _pack_group(capacity: int, linear: float, quadratic: float):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, group_bytes: int = GROUP_BYTES, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, group_bytes: int = GROUP_BYTES, added: bool = True) -> DataFrame:
     """``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset`` of each piece.
 
-    With ``added``, added tokens of the tokenizer that a text contains get their own ids.
-    The number of groups follows the bytes of text; parts, not documents, are dealt, so a long document
-    spreads over groups and every group stays near ``group_bytes``."""
+    The number of groups follows the bytes of text; parts, not documents, are dealt, by a hash of themselves, the task that
+    reads them and how often that task has met the document: so a long document spreads over groups, a row that is repeated
+    often does too, and every group stays near ``group_bytes``. A task that runs again deals the same."""
     if capacity & (capacity - 1):
         raise ValueError("the capacity is a power of two")
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(_parts(tokenizer_path, pattern, capacity, end_id, added), f"doc_id {kind}, start long, doc_tokens long, width int, ids binary")
-    dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    parts = rows.mapInArrow(_parts(tokenizer_path, pattern, capacity, end_id, added), f"doc_id {kind}, start long, doc_tokens long, width int, ids binary, task int, copy long")
+    dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids", "task", "copy"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(
         _pack_group(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

@@ -88,10 +88,12 @@ def test_long_texts_of_any_script_are_cut(spark):
     assert got == {k: (enc.encode_ordinary(t), t) for k, t in enumerate(texts)}
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("added", [True, False])
+def test_packing(docs, added):
+    """The library's default, as the contract asks for, and added tokens as plain text."""
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
-    pieces = packing.pack_documents(docs, JSON, PATTERN, capacity=64, group_bytes=4000).collect()
+    tok.encode_special_tokens = not added
+    pieces = packing.pack_documents(docs, JSON, PATTERN, capacity=64, group_bytes=4000, added=added).collect()
     lengths = collections.defaultdict(list)
     got = collections.Counter()
     for p in pieces:
@@ -127,6 +129,12 @@ def test_registered_packing_knows_added_tokens(spark, tmp_path, run):
         assert sum(n for _, n, _, _ in got[k]) == len(ids)
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(1, "the same few words " * 20)] * 400 + [(k, f"own words {k}") for k in range(50)], "doc_id long, text string").repartition(4)
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in packing.pack_documents(docs, JSON, PATTERN, capacity=64, group_bytes=8000).collect() if r["doc_id"] == 1)
+    assert len(groups) == 20 and max(groups.values()) < 3 * min(groups.values())
+
+
 def test_packing_balances_cost():
     random.seed(1)
     lengths = [random.randint(1, 600) for _ in range(1000)]
