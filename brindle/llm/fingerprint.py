@@ -16,18 +16,20 @@ Defined cases: null text is empty; a text without words has the empty fingerprin
 and unlike others (0); the text after the last is the first; rows that share a ``doc_id`` have the same next
 document, the least text of the next id, and are compared with its least fingerprint; equal rows each give a
 row; a row with a null id has no next document: its edited text lacks the last quarter and ``near_next`` is 0;
-an empty table gives an empty result; extra columns are ignored.
+ids are integers, since the next document is that of the next id, and other ids are an error; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._shared import id_and_text, sha256_hex, written
 
 #: Parameters: samples, those that one row makes, and bits of id that one window over ids spans.
-SAMPLES, PER_ROW, BUCKET_BITS = 32, 4, 12
+SAMPLES, PER_ROW, BUCKET_BITS = 64, 4, 12
 SAMPLE_BITS = 20
 #: Fixed value of the contracts: the white space between words.
 BETWEEN_WORDS, LAST_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*\z"
@@ -143,6 +145,8 @@ def fingerprints(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, a row per input row."""
     rows = id_and_text(docs, id_col, text_col)
+    if not isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"ids are integers, {id_col!r} is of type {rows.schema['doc_id'].dataType.simpleString()}")
     following = written(next_ids(rows.select("doc_id")), "next")
     found = fingerprints(edited(rows, following), samples)
     alone = rows.where("doc_id is null")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import corpus_pipeline
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, chat, fingerprint, langid, linededup, minhash, packing, quality, queries, sharding, suffix
+from brindle.llm import _shared, bpe, chat, fingerprint, langid, linededup, minhash, packing, quality, queries, sharding, suffix
 from brindle.llm._groups import connected_components
 
 RANKS, PATTERN, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +44,20 @@ def test_no_rows(docs, run):
     assert run(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(("master", "fine"), [("local[2]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_only_local_mode_has_a_folder_of_its_own(master, fine):
+    held = {}
+    conf = types.SimpleNamespace(get=held.get, set=held.__setitem__)
+    session = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master))
+    if fine:
+        assert _shared.shared_dir(session) == held["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            _shared.shared_dir(session)
+    held["spark.checkpoint.dir"] = "hdfs://host/folder/"
+    assert _shared.shared_dir(session) == "hdfs://host/folder"
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (40, 20), (16384, 512)])
 def test_bpe_round_trip(docs, chunk, overlap):
     coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS)
@@ -314,11 +329,32 @@ def test_fingerprints(docs):
     assert by[None][0]["near_next"] == 0 and by[4][0]["fingerprint"] == ""
 
 
-def test_registered_fingerprints_have_32_samples(spark):
-    got = queries.op7_fingerprint(spark, "/root/testdata/sf0.001").collect()
-    digits = fingerprint.SAMPLE_BITS // 4
-    assert got and all(len(r["fingerprint"]) in (0, 32 * digits) for r in got) and any(r["fingerprint"] for r in got)
-    assert all((32 * r[c]).is_integer() for r in got for c in ("near_edited", "near_next"))
+def test_registered_fingerprints_are_near(spark):
+    """The registered query against exact similarities of all documents of sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op7_fingerprint(spark, sf).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    order = sorted(text)
+    assert sorted(got) == order and fingerprint.SAMPLES >= 64
+    words = {i: collections.Counter(WORD.findall(t)) for i, t in text.items()}
+    errors = {"near_edited": [], "near_next": []}
+    for k, i in enumerate(order):
+        after, t, r = order[(k + 1) % len(order)], text[i], got[i]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + text[after][:q]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert len(r["fingerprint"]) in (0, fingerprint.SAMPLES * fingerprint.SAMPLE_BITS // 4)
+        for name, other in (("near_edited", collections.Counter(WORD.findall(edited))), ("near_next", words[after])):
+            most = sum((words[i] | other).values())
+            errors[name].append(r[name] - (sum((words[i] & other).values()) / most if most else 1.0))
+    root = {name: float(np.sqrt(np.mean(np.square(x)))) for name, x in errors.items()}
+    print(root, {name: float(np.max(np.abs(x))) for name, x in errors.items()})
+    assert root["near_edited"] < 0.065 and root["near_next"] < 0.065
+
+
+def test_fingerprints_need_integer_ids(docs):
+    with pytest.raises(TypeError, match="string"):
+        fingerprint.document_fingerprints(docs.selectExpr("cast(doc_id as string) doc_id", "text"))
 
 
 def test_next_ids(spark):
