@@ -5,8 +5,8 @@ word the languages that write it; hashed character n-grams (1 to 3) give it a lo
 of them; Viterbi over the words with a penalty for switching labels spans. The language of a document is
 the one with most words, its score that language's share of the words.
 
-Training takes at most ``max_docs`` labelled documents of each language (the first by a hash of the id),
-whole texts; the model has at most ``2 ** bits`` cells a language, which bounds what is collected and
+Training takes the labelled documents of at most ``max_docs`` ids of each language (the first by a hash of the
+id), whole texts, which are read where they lie and not shuffled; the model has at most ``2 ** bits`` cells a language, which bounds what is collected and
 broadcast.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and no spans; with nothing to
@@ -40,6 +40,7 @@ SCRIPTS = (
 SCRIPT_NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 UNSPACED = [SCRIPT_NAMES.index(x) for x in ("thai", "kana", "han")]
 
+_NO_LETTER = regex.compile(r"(?r)[^\p{L}\p{M}]")
 LABEL = "_lang string, _cell int, _n long"
 
 
@@ -74,10 +75,10 @@ def _words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cells(points: np.ndarray, inside: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each position the cells of the 1-, 2- and 3-grams that end there; outside words a space stands."""
+    """For each position the cells of the 1-, 2- and 3-grams that end there; before the first letter of a run spaces stand."""
     p = np.where(inside, points, 32).astype(np.uint64)
     b = np.concatenate([[np.uint64(32)], p[:-1]])
-    a = np.concatenate([[np.uint64(32)], b[:-1]])
+    a = np.where(b == 32, np.uint64(32), np.concatenate([[np.uint64(32)], b[:-1]]))
     mixed = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
     return [mixed(p + np.uint64(1)), mixed((b << np.uint64(21)) + p + np.uint64(3)), mixed(((a << np.uint64(42)) + (b << np.uint64(21)) + p) * np.uint64(3) + np.uint64(7))]
 
@@ -95,14 +96,15 @@ def _inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _slices(texts: list[str]) -> Iterator[str]:
-    """The texts joined by spaces, in slices of about SLICE_CHARS cut at spaces where there are any."""
+    """The texts joined by spaces, in slices of about SLICE_CHARS cut where no letter is: no word is cut but one that
+    fills a slice (in scripts without spaces: a run of words, whose next one then starts as after a space)."""
     joined = " ".join(texts)
     at = 0
     while at < len(joined):
         end = at + SLICE_CHARS
         if end < len(joined):
-            cut = joined.rfind(" ", at, end)
-            end = cut + 1 if cut > at else end
+            cut = _NO_LETTER.search(joined, at + 1, end)
+            end = cut.end() if cut else end
         yield joined[at:end]
         at = end
 
@@ -133,12 +135,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def _by_language(numbers: dict[str, int]) -> Column:
+    """A number of each language as a column of ``_lang``."""
+    known = [x for lang, number in sorted(numbers.items()) for x in (F.lit(lang), F.lit(number).cast("long"))]
+    return F.create_map(*known)[F.col("_lang")] if known else F.lit(None).cast("long")
+
+
+def _last_hashes(rows: DataFrame, max_docs: int) -> dict[str, int]:
+    """By language the hash of the last id that trains: the ``max_docs``-th of its ids in order of their hashes.
+
+    Only hashes below a share of their range that holds some more of them than that are ordered, so a task orders
+    about that many whatever the size of a language. The driver gets two numbers a language."""
+    hashed = rows.select("_lang", F.xxhash64("_id").alias("_h"))
+    total = {r["_lang"]: r["n"] for r in hashed.groupBy("_lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()}
+    if not total:
+        return {}
+    wanted = 1.2 * max_docs + 8 * max_docs**0.5 + 8
+    limit = {lang: 2**63 - 1 if n <= wanted else int(-(2**63) + 2**64 * wanted / n) for lang, n in total.items()}
+    few = hashed.where(F.col("_h") <= _by_language(limit)).distinct()
+    order = Window.partitionBy("_lang").orderBy("_h")
+    numbered = few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_docs)
+    return {r["_lang"]: r["_last"] for r in numbered.groupBy("_lang").agg(F.max("_h").alias("_last")).collect()}
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, bits: int = BITS) -> dict:
     """The model: languages, log-probabilities by cell (float32) and the languages that write each script."""
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_id is not null and _lang is not null and _text is not null")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = rows.select("_id", "_lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_docs).select("_id").distinct()
-    sample = rows.join(picked, "_id", "left_semi").select("_lang", "_text")
+    last = _last_hashes(rows, max_docs)
+    sample = rows.where(F.xxhash64("_id") <= _by_language(last)).select("_lang", "_text")
     counts = sample.mapInArrow(_count(bits), LABEL).groupBy("_lang", "_cell").agg(F.sum("_n").alias("_n")).toPandas()
     langs = sorted(counts["_lang"].unique())
     n = np.zeros((len(langs), 2**bits + len(SCRIPT_NAMES)))

@@ -411,6 +411,84 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_sample(spark):
+    """The ids of least hashes, as many of each language as asked for; ids that repeat count once, all languages train."""
+    made = [(k, "big" if k % 10 else "small", f"text {k}") for k in range(3000)] + [(5, "big", "again")] * 5000
+    rows = spark.createDataFrame(made, "_id long, _lang string, _text string")
+    hashes = {r[0]: r[1] for r in rows.select("_id", F.xxhash64("_id")).distinct().collect()}
+    of = {lang: sorted(hashes[i] for i in {i for i, x, _ in made if x == lang}) for lang in ("big", "small")}
+    assert langid._last_hashes(rows, 50) == {lang: x[49] for lang, x in of.items()}
+    assert langid._last_hashes(rows, 400) == {"big": of["big"][399], "small": of["small"][-1]}
+    assert langid._last_hashes(rows.where("false"), 50) == {}
+
+
+def plain_model(labelled, bits):
+    """Training once more: n-grams of letters by dictionaries."""
+    letter, scripts = langid.regex.compile(r"[\p{L}\p{M}]+"), langid._tables()[1]
+    cells, written = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for text, lang in labelled:
+        for m in letter.finditer(text.lower()):
+            word = [ord(c) for c in m.group()]
+            written[lang][int(scripts[word[0]])] += 1
+            for k, p in enumerate(word):
+                b, a = (word[k - 1] if k else 32), (word[k - 2] if k > 1 else 32)
+                for x in (p + 1, (b << 21) + p + 3, ((a << 42) + (b << 21) + p) * 3 + 7):
+                    cells[lang][((x * 0x9E3779B97F4A7C15) % 2**64) >> (64 - bits)] += 1
+    return cells, written
+
+
+def test_language_model_and_word_scores(spark):
+    """Training and the scores of words against a plain reimplementation, over real rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null")
+    labelled = [(r["text"], r["lang"]) for r in docs.collect()]
+    model = langid.train(docs)
+    cells, written = plain_model(labelled, langid.BITS)
+    assert model["langs"] == sorted(cells)
+    log_p = {}
+    for k, lang in enumerate(model["langs"]):
+        total = sum(cells[lang].values())
+        log_p[lang] = lambda c, lang=lang, total=total: np.log((cells[lang][c] + langid.SMOOTHING) / (total + langid.SMOOTHING * 2**langid.BITS))
+        want = [log_p[lang](c) for c in range(2**langid.BITS)]
+        assert np.allclose(model["log_p"][:, k], want, atol=1e-4)
+        assert [bool(x) for x in model["writes"][:, k]] == [(not any(written[x][s] >= langid.SCRIPT_SHARE * sum(written[x].values()) for x in cells)) or written[lang][s] >= langid.SCRIPT_SHARE * sum(written[lang].values()) for s in range(len(langid.SCRIPT_NAMES))]
+    texts = [t for t, _ in labelled[:20]] + ["", "12 !", "a", "don't stop"]
+    scores, counts = langid.word_scores(texts, model)
+    at = 0
+    for text, n in zip(texts, counts):
+        words = langid.regex.findall(r"[\p{L}\p{M}]+", text.lower())
+        assert len(words) == n
+        for word, own in zip(words, scores[at : at + n]):
+            own_cells, _ = plain_model([(word, "x")], langid.BITS)
+            for k, lang in enumerate(model["langs"]):
+                if own[k] > -1e4:
+                    assert own[k] == pytest.approx(sum(n * log_p[lang](c) for c, n in own_cells["x"].items()), abs=0.02)
+        at += n
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    texts = [r["text"] for r in docs.collect()][:30] + ["né\tà,b" * 40, "", " "]
+    model = langid.train(docs)
+    whole, counts = langid.word_scores(texts, model)
+    monkeypatch.setattr(langid, "SLICE_CHARS", 97)
+    scores, again = langid.word_scores(texts, model)
+    assert list(counts) == list(again) and np.allclose(whole, scores, atol=1e-2)
+    assert all(len(x) <= 97 for x in langid._slices(texts)) and "".join(langid._slices(texts)) == " ".join(texts)
+
+
+def test_registered_language_id_is_accurate(spark):
+    """Held-out accuracy of the registered query on sf0.01: the fold never trains."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op10_langid(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"] and truth[r["doc_id"]][0] is not None and langid._has_letter(truth[r["doc_id"]][1])]
+    right = sum(r["lang_pred"] == truth[r["doc_id"]][0] for r in held)
+    print(right, len(held))
+    assert len(held) > 200 and right >= 0.98 * len(held)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     counts = np.array([3, 0, 5, 1])
