@@ -46,5 +46,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def without(docs: DataFrame, *added: str) -> DataFrame:
+    """``docs`` without columns of the names that an operator adds (as Spark compares names): its own replace them."""
+    taken = {x.lower() for x in added}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)

@@ -7,7 +7,7 @@ lines whose hash is over the threshold.
 Defined cases: a null or empty text is one empty line; a line that a document repeats counts once for
 it; rows that share a ``doc_id`` count as one document (and all keep a line if that id is the largest);
 rows with a null ``doc_id`` come back unchanged and count for nothing; an empty table gives an empty
-result; extra columns are carried along.
+result; extra columns are carried along, but for ones named ``n_lines`` or ``n_dropped``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE
+from ._shared import ASCII_SPACE, without
 
 #: Fixed values of the contract.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -73,8 +73,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """``doc_id, drops``: for each document that loses lines, their hashes.
 
     Pairs of hash and document are made distinct by a shuffle on both, which no hash can make uneven; the
-    count per hash then adds up one partial row a task. The way back joins on the hash: the side of the
-    pairs may be skewed, and AQE splits such partitions of a join.
+    count per hash then adds up one partial row a task. The way back joins
+    on the hash: the side of the pairs may be skewed, and AQE splits such partitions of a join.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(_keys(min_chars), f"doc_id {kind}, key binary").distinct()
@@ -89,8 +89,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the remaining text, and ``n_lines`` and ``n_dropped`` as two last columns."""
+    docs = without(docs, "n_lines", "n_dropped")
     names = docs.columns
-    plain = docs.select(*(F.col(old).alias(f"_c{k}") for k, old in enumerate(names)))
+    plain = docs.select(*(F.col(f"`{old}`").alias(f"_c{k}") for k, old in enumerate(names)))
     doc_id, text_at = f"_c{names.index(id_col)}", names.index(text_col)
     drops = dropped_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars, min_docs)
     joined = plain.join(drops.select(F.col("doc_id").alias("_id"), F.col("drops").alias("_drops")), F.col(doc_id) == F.col("_id"), "left").drop("_id")

@@ -88,7 +88,7 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def count_words(docs: DataFrame, text_col: str, keep: dict[str, str]) -> DataFrame:
     """The columns ``keep`` (new name: old name) and the counts."""
-    picked = docs.select(F.col(text_col).alias("_text"), *(F.col(old).alias(new) for new, old in keep.items()))
+    picked = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{old}`").alias(new) for new, old in keep.items()))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "_text")
     return picked.mapInArrow(_count_batches, f"{kept}, {COUNTS}")
 

@@ -19,7 +19,8 @@ minimizer.
 
 Defined cases: null text is empty; a text below ``window`` bytes loses nothing; rows that share a ``doc_id``
 are separate texts (32 bits of a text hash tell them apart), and equal rows repeat each other; a null
-``doc_id`` is a document like others; an empty table gives an empty result; extra columns are carried.
+``doc_id`` is a document like others; an empty table gives an empty result; extra columns are carried, but for ones
+named ``n_bytes``, ``n_removed`` or ``spans``, which the operator's replace.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._groups import block_pairs, groups
 from ._hashing import POWERS, mixed, prefix_hash
-from ._shared import written
+from ._shared import without, written
 
 #: Fixed value of the contract.
 WINDOW = 200
@@ -471,10 +472,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     With ``exact`` the text column is binary, the remaining bytes as they are; without, spans are shrunk to
     whole characters in it, so that it stays text (the counts and spans are the exact ones)."""
+    docs = without(docs, "n_bytes", "n_removed", "spans")
     names = docs.columns
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     places = repeated_segments(rows, window).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
-    plain = docs.select(*(F.col(old).alias(f"_c{k}") for k, old in enumerate(names)))
+    plain = docs.select(*(F.col(f"`{old}`").alias(f"_c{k}") for k, old in enumerate(names)))
     doc_id, text = (f"_c{names.index(c)}" for c in (id_col, text_col))
     joined = plain.join(places, F.col(doc_id).eqNullSafe(F.col("_id")) & (tag_of(F.col(text)) == F.col("_tag")), "left").drop("_id")
     fields = ", ".join(f"`{f.name}` {'binary' if exact and f.name == text else f.dataType.simpleString()}" for f in plain.schema.fields)

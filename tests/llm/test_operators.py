@@ -182,6 +182,26 @@ def test_line_dedup(docs):
     assert sum(w[3] for w in want) == 2
 
 
+def test_columns_named_like_results_are_replaced(docs):
+    clash = docs.selectExpr("*", "'a' n_lines", "1 `N_Dropped`", "2 n_bytes", "3 n_removed", "array(4) spans", "5 `odd.name`", "6 `_id`", "7 _c0", "8 `_places`")
+    kept = ["odd.name", "_id", "_c0", "_places"]
+    lines = linededup.line_dedup(clash)
+    assert lines.columns == [*docs.columns, "n_bytes", "n_removed", "spans", *kept, "n_lines", "n_dropped"]
+    pick = lambda df, *c: bag(tuple(r) for r in df.select("doc_id", "text", *c).collect())
+    assert pick(lines, "n_lines", "n_dropped") == pick(linededup.line_dedup(docs), "n_lines", "n_dropped")
+    spans = suffix.suffix_dedup(clash)
+    assert spans.columns == [*docs.columns, "n_lines", "N_Dropped", *kept, "n_bytes", "n_removed", "spans"]
+    assert pick(spans, "n_bytes", "n_removed", "spans") == pick(suffix.suffix_dedup(docs), "n_bytes", "n_removed", "spans")
+    names = [r["odd.name"] for r in spans.collect()]
+    assert set(names) == {5}
+    for run in (quality.quality_report, minhash.near_duplicates, langid_of, lambda d: bpe.encode(d, RANKS, PATTERN), lambda d: packing.pack_documents(d, JSON, PATTERN)):
+        assert run(clash.selectExpr("*", "9 component_id", "9 ids", "9 kept", "9 lang_pred", "9 `group`", "9 `start`", "9 n_words", "9 class")).count() == run(docs).count()
+
+
+def langid_of(docs):
+    return langid.predict(docs, langid.train(docs))
+
+
 def test_near_duplicates(docs, monkeypatch):
     def grams(t):
         w = WORD.findall(t.translate(LOWER))
