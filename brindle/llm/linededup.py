@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, without
+from ._shared import ASCII_SPACE, without, written
 
 #: Fixed values of the contract.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -73,14 +73,17 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """``doc_id, drops``: for each document that loses lines, their hashes.
 
     Pairs of hash and document are made distinct by a shuffle on both, which no hash can make uneven; the
-    count per hash then adds up one partial row a task. The way back joins
-    on the hash: the side of the pairs may be skewed, and AQE splits such partitions of a join.
+    count per hash then adds up one partial row a task. They are written once, for the counts and for the way
+    back; so are the hashes over the threshold, with which the pairs then join as two tables read: the side of the
+    pairs may be skewed, and AQE splits such partitions of a join that shares no exchange with an aggregation.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(_keys(min_chars), f"doc_id {kind}, key binary").distinct()
+    pairs = written(pairs, "lines")
     spread = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    spread = written(spread.select("key", "last"), "spread")
     return (
-        pairs.join(spread.select("key", "last"), "key")
+        pairs.join(spread, "key")
         .where(F.col("doc_id") < F.col("last"))
         .groupBy("doc_id")
         .agg(F.collect_list("key").alias("drops"))
