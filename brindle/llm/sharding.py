@@ -16,19 +16,23 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-#: Parameters: bytes of a merged file, size ratio of tiers and least number of shards merged, rows of an appended shard.
-TARGET_BYTES, FANOUT, APPEND_ROWS = 128 << 20, 4, 2_000
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
+
+#: Parameters: bytes of a merged file, size ratio of tiers and least number of shards merged; of an appended shard the
+#: most rows, and about the bytes before compression.
+TARGET_BYTES, FANOUT, APPEND_ROWS, APPEND_BYTES = 128 << 20, 4, 100_000, 4 << 20
 #: Below this size shards are one tier.
 LEAST_BYTES = 64 << 10
-#: Runs that one job merges, a task each: the plan's size stays bounded.
-RUNS_IN_JOB = 64
+#: Runs that one job merges, a task each, so that its plan stays bounded; and jobs at a time, which together fill a cluster.
+RUNS_IN_JOB, JOBS = 64, 32
 
 
 class Conflict(Exception):
@@ -66,10 +70,22 @@ def plan(shards: list[Shard], target: int, fanout: int) -> list[list[Shard]]:
     return [r for r in runs if len(r) > 1]
 
 
+def row_bytes(rows: DataFrame) -> Column:
+    """About the bytes of a row: those of its texts and eight for any other value or element."""
+
+    def of(field: StructField) -> Column:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+        return 8 * F.greatest(F.size(c), F.lit(1)).cast("long") if isinstance(kind, (ArrayType, MapType)) else F.lit(8).cast("long")
+
+    return reduce(Column.__add__, map(of, rows.schema.fields), F.lit(1).cast("long"))
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, append_rows: int = APPEND_ROWS):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, append_rows: int = APPEND_ROWS, append_bytes: int = APPEND_BYTES):
         self.spark, self.root = spark, root.rstrip("/")
-        self.target, self.fanout, self.append_rows = target_bytes, fanout, append_rows
+        self.target, self.fanout, self.append_rows, self.append_bytes = target_bytes, fanout, append_rows, append_bytes
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
@@ -132,25 +148,30 @@ class ShardStore:
         return sorted(found, key=lambda s: s.path)
 
     def append(self, rows: DataFrame) -> int:
-        """Writes the rows as shards and publishes them."""
-        directory = f"{self.root}/data/append-{uuid.uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", self.append_rows).option("compression", "zstd").parquet(directory)
-        new = self._files(directory)
-        if rows.sparkSession.read.parquet(directory).isEmpty():
+        """Writes the rows as shards and publishes them. How many rows make a shard follows from their mean size."""
+        n, size = rows.agg(F.count(F.lit(1)), F.sum(row_bytes(rows))).first()
+        if not n:
             return self.version()
-        return self._publish(new, set())
+        most = max(1, min(self.append_rows, self.append_bytes * n // size))
+        directory = f"{self.root}/data/append-{uuid.uuid4().hex}"
+        rows.write.option("maxRecordsPerFile", most).option("compression", "zstd").parquet(directory)
+        return self._publish(self._files(directory), set())
 
     def compact_once(self) -> bool:
-        """One merge of all runs there are now, RUNS_IN_JOB of them a job; False if there are none."""
+        """One merge of all runs there are now, JOBS jobs of RUNS_IN_JOB of them at a time; False if there are none."""
         runs = plan(self.shards(), self.target, self.fanout)
         if not runs:
             return False
         directory = f"{self.root}/data/merge-{uuid.uuid4().hex}"
         schema = self.spark.read.option("mergeSchema", "true").parquet(*(s.path for run in runs for s in run)).schema
-        # a task reads the shards of a run one after the other and writes one file: no shuffle
-        for at in range(0, len(runs), RUNS_IN_JOB):
+
+        def merge(at: int) -> None:  # a task reads the shards of a run one after the other and writes one file: no shuffle
             parts = [self.spark.read.schema(schema).parquet(*(s.path for s in run)).coalesce(1) for run in runs[at : at + RUNS_IN_JOB]]
             reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(f"{directory}/{at}")
+
+        with ThreadPoolExecutor(JOBS) as pool:
+            for _ in pool.map(inheritable_thread_target(self.spark)(merge), range(0, len(runs), RUNS_IN_JOB)):
+                pass
         gone = {s.path for run in runs for s in run}
         self._publish(self._files(directory), gone)
         return True

@@ -541,6 +541,18 @@ def test_sharding(spark, docs, tmp_path):
     assert sharding.ShardStore(spark, f"file://{tmp_path}/none").read(plain.schema).count() == 0
 
 
+def test_shards_follow_bytes_and_runs_merge_in_many_jobs(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RUNS_IN_JOB", 2)
+    long = spark.createDataFrame([(k, "x" * (3000 if k % 2 else 1), [1.0, 2.0], None) for k in range(400)], "id long, text string, v array<double>, b binary").coalesce(1)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=30_000, append_bytes=30_000)
+    store.append(long)
+    sizes = [store.spark.read.parquet(s.path).count() for s in store.shards()]
+    assert len(sizes) == -(-400 // max(sizes)) and 15 <= max(sizes) <= 20  # of about 1,500 bytes
+    assert len(sharding.plan(store.shards(), store.target, store.fanout)) > 3
+    store.compact()
+    assert len(store.shards()) < len(sizes) and bag(map(tuple, store.read(long.schema).collect())) == bag(map(tuple, long.collect()))
+
+
 def test_pipeline(spark, docs, tmp_path):
     """Each stage against brute force over what the one before kept."""
     import corpus_pipeline as cp
