@@ -75,10 +75,14 @@ WITH words AS (
   FROM counts
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR further_failed) AS failed FROM ruled GROUP BY source
-), moments AS (
-  SELECT avg(failed / n) AS mean, coalesce(var_samp(failed / n), 0) AS spread FROM hosts
+), sums AS (
+  SELECT count(*)::DOUBLE AS h, sum(n)::DOUBLE AS n, sum(failed)::DOUBLE / sum(n) AS mean, sum(n::DOUBLE * n) AS squares FROM hosts
+), spread AS (
+  SELECT sum(hosts.n * (failed::DOUBLE / hosts.n - mean) ** 2) AS around FROM hosts, sums
+), correlation AS (
+  SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND n - h + 1 - squares / n > 0 THEN (around / (mean * (1 - mean)) - (h - 1)) / (n - h + 1 - squares / n) ELSE 0 END AS r FROM sums, spread
 ), prior AS (
-  SELECT mean, CASE WHEN spread > 0 THEN least({quality.PRIOR_MOST}, greatest({quality.PRIOR_LEAST}, mean * (1 - mean) / spread - 1)) ELSE {quality.PRIOR_MOST} END AS strength FROM moments
+  SELECT mean, CASE WHEN r > 0 THEN least({quality.PRIOR_MOST}, greatest({quality.PRIOR_LEAST}, 1 / r - 1)) ELSE {quality.PRIOR_MOST} END AS strength FROM correlation
 ), rates AS (
   SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM hosts, prior
 )

@@ -1,7 +1,9 @@
 """Quality rules with host-level verdicts.
 
 Per document a handful of counts and rules; per host (``source``) the share of documents that fail any
-rule, shrunk towards a beta prior fitted to all hosts by moments; the host verdicts are joined back.
+rule, shrunk towards a beta prior fitted to all hosts; the host verdicts are joined back. The fit is the
+beta-binomial one by moments: of the spread of the hosts' shares what the drawing of a host's few documents
+explains is taken off, so that small hosts neither inflate the prior's spread nor escape it.
 
 Verdict of a document that passes the base rules:
 
@@ -101,20 +103,32 @@ def further_failed() -> Column:
     return (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_text_lines"))
 
 
+def beta_prior(hosts: int, n: float | None, failed: float | None, squares: float | None, shares: float | None) -> tuple[float, float]:
+    """Mean and strength (as so many documents) from the sums over hosts of n, failures, n * n and failures * failures / n.
+
+    With m the mean and r the correlation of two documents of a host, the weighted squares of the hosts' shares about m
+    are expected to be m (1 - m) (hosts - 1 + r (n - hosts + 1 - squares / n)); the strength is 1 / r - 1. Where r cannot
+    be told or is not positive, the prior is the strongest."""
+    mean = failed / n if n else 0.0
+    noise, room = mean * (1 - mean), (n - hosts + 1 - squares / n) if n else 0.0
+    if noise <= 0 or room <= 0:
+        return mean, PRIOR_MOST
+    r = ((shares - failed * failed / n) / noise - (hosts - 1)) / room
+    return mean, min(PRIOR_MOST, max(PRIOR_LEAST, 1 / r - 1)) if r > 0 else PRIOR_MOST
+
+
 def host_rates(counted: DataFrame, host_col: str) -> DataFrame:
     """``_host, _rate``: the shrunk share of failing documents of each host.
 
     Partial sums come before the shuffle, so a host with a third of all documents costs one row a task.
-    Two numbers, the moments over hosts, go to the driver.
+    Five numbers, sums over hosts, go to the driver.
     """
     hosts = counted.groupBy(F.col(host_col).alias("_host")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum((base_failed() | further_failed()).cast("long")).alias("_failed")
     )
     hosts = written(hosts, "hosts")
-    share = F.col("_failed") / F.col("_n")
-    mean, spread = hosts.agg(F.avg(share), F.var_samp(share)).first()
-    mean, spread = mean or 0.0, spread or 0.0
-    strength = min(PRIOR_MOST, max(PRIOR_LEAST, mean * (1 - mean) / spread - 1)) if spread > 0 else PRIOR_MOST
+    n, failed = F.col("_n").cast("double"), F.col("_failed").cast("double")
+    mean, strength = beta_prior(*hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(failed), F.sum(n * n), F.sum(failed * failed / n)).first())
     return hosts.select("_host", ((F.col("_failed") + mean * strength) / (F.col("_n") + strength)).alias("_rate"))
 
 

@@ -8,6 +8,7 @@ import types
 import zlib
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import _shared, bpe, chat, fingerprint, langid, linededup, minhash, packing, quality, queries, sharding, suffix
+from brindle.llm import _shared, bpe, chat, fingerprint, langid, linededup, minhash, oracles, packing, quality, queries, sharding, suffix
 from brindle.llm._groups import connected_components
 
 RANKS, PATTERN, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -383,6 +384,17 @@ def test_next_ids(spark):
     assert got == dict(zip(ids, [*ids[1:], ids[0]]))
 
 
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_registered_query_matches_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    assert bag(map(tuple, df.select(*columns).collect())) == bag(con.sql(f"select {','.join(columns)} from ({oracles.ORACLES[name]})").fetchall())
+
+
 def test_quality(docs):
     out = {(r["doc_id"], r["n_words"]): r for r in quality.quality_report(docs).collect()}
     for i, t in rows(docs):
@@ -397,6 +409,21 @@ def test_quality(docs):
     assert quality.quality_filter(docs).columns == docs.columns
 
 
+def test_beta_prior_is_found_again():
+    """Hosts drawn from a beta prior, most of one to five documents: the fit finds the prior, plain moments would not."""
+    rng = np.random.default_rng(7)
+    for a, b in ((2.0, 6.0), (0.5, 0.5), (30.0, 10.0)):
+        n = np.concatenate([rng.integers(1, 6, 40_000), rng.integers(50, 200, 400)])
+        failed = rng.binomial(n, rng.beta(a, b, len(n)))
+        sums = len(n), n.sum(), failed.sum(), (n * n).sum(), (failed * failed / n).sum()
+        mean, strength = quality.beta_prior(*map(float, sums))
+        assert mean == pytest.approx(a / (a + b), abs=0.02) and strength == pytest.approx(max(1, a + b), rel=0.1)
+        plain = mean * (1 - mean) / np.var(failed / n) - 1
+        assert plain < 0.8 * (a + b)
+    assert quality.beta_prior(0, None, None, None, None) == (0.0, quality.PRIOR_MOST)
+    assert quality.beta_prior(3, 3.0, 1.0, 3.0, 1.0)[1] == quality.beta_prior(2, 20.0, 0.0, 200.0, 0.0)[1] == quality.PRIOR_MOST
+
+
 def test_bad_hosts_take_their_documents_along(spark):
     good = " ".join(f"word{k}" for k in range(80))
     made = [(k, good if k % 10 else "bad", f"h{k % 20}") for k in range(2000)] + [(5000 + k, good if k == 0 else "bad", "junk") for k in range(200)]
