@@ -83,7 +83,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node) for the nodes of ``edges`` (``a, b``): alternating stars.
 
     Each round links nodes to the smallest one they see and is written to the shared folder; the rounds
-    grow with the logarithm of the nodes. Per round a count and a checksum go to the driver."""
+    grow with the logarithm of the nodes. Per round a count and a checksum go to the driver. An edge leads from
+    the larger node ``a`` to the smaller ``b``, so a hub is many edges of one ``b``: those are joined with a table
+    that is read, of one row a node, and AQE splits the hub's partition of that join."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
@@ -93,9 +95,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before = mark
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = written(edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
+        large = edges.join(least, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(lower, F.col("a") == F.col("n"))
         step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
