@@ -84,3 +84,25 @@ def value_key(column: Column, kind: object) -> Column | None:
     if isinstance(kind, StringType):
         return F.concat(F.lit("s:"), column)
     return None
+
+
+def variant_key(v: Column) -> Column:
+    """The same key of a VARIANT; null for other types."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(F.is_variant_null(v), F.lit("z:"))
+        .when(kind == "BOOLEAN", F.concat(F.lit("b:"), F.try_variant_get(v, "$", "string")))
+        .when(kind.rlike(_NUMERIC), F.concat(F.lit("n:"), (F.try_variant_get(v, "$", "double") + F.lit(0.0)).cast("string")))
+        .when(kind == "STRING", F.concat(F.lit("s:"), F.try_variant_get(v, "$", "string")))
+    )
+
+
+def literal_key(value: object) -> Column | None:
+    """The same key of a filter's value; None if no scalar."""
+    if value is None:
+        return F.lit("z:")
+    if isinstance(value, bool):
+        return F.lit(f"b:{str(value).lower()}")
+    if isinstance(value, (int, float)):
+        return F.concat(F.lit("n:"), (F.lit(float(value)) + F.lit(0.0)).cast("string"))
+    return F.lit(f"s:{value}") if isinstance(value, str) else None

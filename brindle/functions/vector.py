@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ def as_vector(v: Column | Sequence[float]) -> Column:
     """A column, or a literal query vector rounded to 32 bits first as stored vectors are."""
     if isinstance(v, Column):
         return v.cast("array<double>")
-    return F.lit([float(x) for x in v]).cast("array<float>").cast("array<double>")
+    return F.expr(f"array({', '.join(f'{x!r}D' for x in map(float, np.asarray(v, np.float32)))})") if len(v) else F.array().cast("array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:

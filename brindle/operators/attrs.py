@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import value_key
+from ..functions.filters import literal_key, value_key, variant_key
 
 #: A field with more distinct values than this, and than half the documents, is not indexed; below
 #: this share of documents a filter is looked up first.
@@ -19,6 +21,12 @@ def entries(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.select("id", F.explode(pairs).alias("e")).select("id", "e.field", "e.value_key").where("value_key is not null")
 
 
+def variant_entries(docs: DataFrame, attributes: str, skip: str = "") -> DataFrame:
+    """``id, field, value_key`` of every scalar among the attributes (JSON text) but the text field."""
+    each = docs.select("id", F.explode(F.from_json(attributes, "map<string, variant>")).alias("field", "v"))
+    return each.where(F.col("field") != skip).select("id", "field", variant_key(F.col("v")).alias("value_key")).where("value_key is not null")
+
+
 def indexed_fields(found: DataFrame, n: int) -> DataFrame:
     """``field, values`` of the fields that are indexed."""
     counts = found.groupBy("field").agg(F.countDistinct("value_key").alias("values"))
@@ -31,6 +39,27 @@ def attribute_index(docs: DataFrame, fields: list[str], n: int) -> DataFrame:
     return found.join(indexed_fields(found, n).select("field"), "field", "left_semi")
 
 
+def candidates(index: DataFrame, spec: dict | None, indexed: set[str], skipped: set[str]) -> DataFrame | None:
+    """Ids that a filter leaves, from the index alone; None if any part of it cannot be answered from there.
+
+    A field that is neither indexed nor skipped occurs in no document."""
+    op = (spec or {}).get("op", "")
+    none = index.select("id").where(F.lit(False))
+    if op == "eq":
+        key = literal_key(spec.get("value"))
+        if spec["field"] in skipped or key is None:
+            return None
+        return index.where((F.col("field") == spec["field"]) & (F.col("value_key") == key)).select("id") if spec["field"] in indexed else none
+    if op not in ("", "all", "and", "or"):
+        return none
+    parts = [candidates(index, s, indexed, skipped) for s in (spec or {}).get("sub") or []]
+    if op in ("", "all") or any(p is None for p in parts) or op == "and" and not parts:
+        return None
+    if op == "and":
+        return reduce(lambda a, b: a.join(b, "id", "left_semi"), parts)
+    return reduce(DataFrame.unionByName, parts, none).distinct()
+
+
 def ordinals(docs: DataFrame) -> DataFrame:
     """``id, ord``: dense numbers in the order of ids.
 

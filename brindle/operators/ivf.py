@@ -1,29 +1,46 @@
 """Inverted-file clustering: assignment, Lloyd passes, probing, maintenance.
 
-Centroids number about the root of the vectors; they are held on the driver and travel as literals.
+Centroids number about the root of the vectors; they are held on the driver and travel with the functions that use them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import COSINE, choose_k, distance
+from ._arrow import matrix
 
-#: Lloyd passes at most, fan-out of the routing tree, rows exactly scored per result of a shortlist.
-PASSES, FANOUT, RERANK = 25, 8, 4
+#: Lloyd passes at most, fan-out of the routing tree, rows exactly scored per result of a shortlist, and nodes
+#: of a level that are followed per cluster asked for.
+PASSES, FANOUT, RERANK, BEAM = 25, 8, 4, 4
 #: Parameter: the share of clusters, or of the rows in them, that is searched unless a number of clusters is given.
 SHARE = 0.75
+#: Numbers that the distances of a block of vectors to all centroids take.
+BLOCK = 1 << 22
 
 
 def means(rows: DataFrame, by: str) -> DataFrame:
-    """``by, pos, mean``: component means in double, to be rounded to 32 bits."""
-    parts = rows.select(F.col(by), F.posexplode("vector").alias("pos", "x"))
-    return parts.groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).cast("float").alias("mean"))
+    """``by, pos, mean``: component means in double, to be rounded to 32 bits. A batch sends one sum a group and component."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, valid = matrix(batch.column(1))
+            names = batch.column(0).filter(pa.array(valid)).dictionary_encode("encode")
+            n = len(names.dictionary)
+            total, to = np.zeros((n, points.shape[1])), names.indices.to_numpy()
+            np.add.at(total, to, points)
+            yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(np.bincount(to, minlength=n).astype(np.int64)), pa.array(list(total), pa.list_(pa.float64()))], ["by", "n", "sums"])
+
+    parts = rows.select(F.col(by).alias("by"), "vector").mapInArrow(sums, f"by {kind}, n long, sums array<double>")
+    parts = parts.select(F.col("by").alias(by), "n", F.posexplode("sums").alias("pos", "x"))
+    return parts.groupBy(by, "pos").agg((F.sum("x") / F.sum("n")).cast("float").alias("mean"))
 
 
 def centroids_of(rows: DataFrame, by: str) -> dict[int, list[float]]:
@@ -33,22 +50,40 @@ def centroids_of(rows: DataFrame, by: str) -> dict[int, list[float]]:
     return {c: [v[p] for p in sorted(v)] for c, v in sorted(found.items())}
 
 
-def nearest(vector: Column, centroids: dict[int, Sequence[float]], metric: str = COSINE) -> Column:
-    """The struct (dist, cluster) of the nearest centroid, ties to the lower cluster."""
-    table = F.array(*(F.struct(F.lit(c).alias("cluster"), F.lit([float(x) for x in v]).cast("array<float>").alias("centre")) for c, v in sorted(centroids.items())))
-    return F.array_min(F.transform(table, lambda t: F.struct(distance(metric, vector, t["centre"]).alias("dist"), t["cluster"].alias("cluster"))))
+def nearest(rows: DataFrame, centroids: dict[int, Sequence[float]], metric: str = COSINE) -> DataFrame:
+    """Adds ``cluster`` and ``dist`` of the nearest centroid, ties to the lower cluster; null without a vector.
+
+    The centroids travel with the function, once an executor and in 32 bits, not as literals of the plan; a batch is compared
+    with them in blocks, so a task holds BLOCK numbers besides its rows."""
+    names = np.array(sorted(centroids), np.int32)
+    centres = np.array([centroids[c] for c in names.tolist()], np.float32)
+    at = rows.columns.index("vector")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, valid = matrix(batch.column(at))
+            cluster, dist = np.zeros(len(points), np.int32), np.zeros(len(points))
+            step = max(1, BLOCK // max(1, centres.size))
+            for k in range(0, len(points), step):
+                d = np_distance(metric, points[k : k + step, None], centres[None])
+                cluster[k : k + step], dist[k : k + step] = names[d.argmin(1)], d.min(1)
+            where = pa.array(np.where(valid, np.cumsum(valid) - 1, 0), mask=~valid)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster).take(where), pa.array(dist).take(where)], [*batch.schema.names, "cluster", "dist"])
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
+    return rows.mapInArrow(place, f"{kinds}, cluster int, dist double")
 
 
 def assign(rows: DataFrame, centroids: dict[int, Sequence[float]], metric: str = COSINE) -> DataFrame:
     """Adds ``cluster``; no shuffle."""
-    return rows.withColumn("cluster", nearest(F.col("vector"), centroids, metric)["cluster"])
+    return nearest(rows, centroids, metric).drop("dist")
 
 
 def np_distance(metric: str, points: np.ndarray, q: np.ndarray) -> np.ndarray:
     points, q = np.asarray(points, float), np.asarray(q, float)
     if metric != COSINE:
         return np.sqrt(((points - q) ** 2).sum(-1))
-    scale = np.linalg.norm(points, axis=-1) * np.linalg.norm(q)
+    scale = np.linalg.norm(points, axis=-1) * np.linalg.norm(q, axis=-1)
     return np.where(scale == 0, 1.0, 1 - np.clip((points * q).sum(-1) / np.where(scale == 0, 1, scale), -1, 1))
 
 
@@ -78,8 +113,8 @@ def nearest_clusters(vector: Column, centroids: dict[int, Sequence[float]], n: i
 
 def reseed(centroids: dict[int, list[float]], rows: DataFrame, missing: list[int], metric: str) -> None:
     """Empty clusters take the points farthest from their centres."""
-    far = rows.select("vector", "id", nearest(F.col("vector"), {c: v for c, v in centroids.items() if c not in missing}, metric)["dist"].alias("d"))
-    for c, r in zip(missing, far.orderBy(F.desc("d"), "id").limit(len(missing)).collect()):
+    far = nearest(rows.where("vector is not null").select("vector", "id"), {c: v for c, v in centroids.items() if c not in missing}, metric)
+    for c, r in zip(missing, far.orderBy(F.desc("dist"), "id").limit(len(missing)).collect()):
         centroids[c] = list(r["vector"])
 
 
@@ -117,6 +152,13 @@ def tree(centroids: dict[int, Sequence[float]], fanout: int = FANOUT, metric: st
     return {"centre": centre, "cluster": None, "children": [tree({c: centroids[c] for c in p}, fanout, metric) for p in parts if p]}
 
 
+def route(centroids: dict[int, Sequence[float]], root: dict | None, query: Sequence[float], n: int, metric: str = COSINE) -> tuple[list[int], int]:
+    """The n clusters to probe and the comparisons it took: by the tree where there is one and it can save any, else by all centroids."""
+    if root is None or n >= len(centroids):
+        return probe(centroids, query, n, metric), len(centroids)
+    return descend(root, query, n, min(BEAM * n, len(centroids)), metric)
+
+
 def descend(root: dict, query: Sequence[float], n: int, beam: int, metric: str = COSINE) -> tuple[list[int], int]:
     """Clusters by a beam search down the tree, and the comparisons it took."""
     level, leaves, compared = [root], [], 0
@@ -152,7 +194,7 @@ def maintain(rows: DataFrame, centroids: dict[int, list[float]], metric: str = C
                 halves = kmeans(placed.where(F.col("cluster") == c).drop("cluster"), 2, metric)
                 if len(halves) == 2 and halves[0] != halves[1]:
                     centroids[c], centroids[max(centroids) + 1] = halves[0], halves[1]
-        centroids.update(centroids_of(assign(rows, centroids, metric), "cluster"))
+        centroids = centroids_of(assign(rows, centroids, metric), "cluster")  # without those that nothing is nearest to
         if not large and not small:
             break
     return {n: centroids[c] for n, c in enumerate(sorted(centroids))}

@@ -38,6 +38,12 @@ def join_top_vectors(rows: DataFrame, queries: DataFrame, k: int = TOP_K, metric
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_w``, the tokens of ``text``. They are a generator's output, which the optimizer does not copy into
+    every expression that uses it: each text is split once, however many terms are counted."""
+    return docs.select("*", F.explode(F.array(tokens(F.col("text")))).alias("_w"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``term, id, tf`` of ``docs`` (id, text)."""
     return docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -47,6 +53,12 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.size(tokens(F.col("text"))).alias("dl"))
 
 
+def index_rows(docs: DataFrame) -> DataFrame:
+    """The index of ``docs`` (id, text): ``term, id, tf, dl``, from one pass over the texts; a document's length goes along with its terms."""
+    words = tokenised(docs.select("id", "text")).select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """``n, avgdl`` over all documents, those without text too."""
     return doc_lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -62,8 +74,8 @@ class Stats:
     def of(cls, docs: DataFrame, terms: Sequence[str]) -> Stats:
         """One pass over the texts; as many numbers as there are terms reach the driver."""
         own = sorted(set(terms))
-        words = docs.select(tokens(F.col("text")).alias("w"))
-        row = words.agg(F.count(F.lit(1)), F.avg(F.size("w")), *(F.sum(F.array_contains("w", t).cast("long")) for t in own)).first()
+        words = tokenised(docs.select("text"))
+        row = words.agg(F.count(F.lit(1)), F.avg(F.size("_w")), *(F.sum(F.array_contains("_w", t).cast("long")) for t in own)).first()
         return cls(row[0], row[1] or 0.0, {t: x or 0 for t, x in zip(own, row[2:])})
 
 
@@ -74,10 +86,11 @@ def bm25_scores(docs: DataFrame, query: str, stats: Stats) -> DataFrame:
     terms = Counter(query_terms(query))
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    words = docs.withColumn("_w", tokens(F.col("text")))
     tf = lambda t: F.size(F.filter("_w", lambda w: w == t)).cast("double")
     parts = [n * term_score(F.lit(idf(stats.n, stats.df.get(t, 0))), tf(t), F.size("_w"), stats.avgdl) for t, n in sorted(terms.items())]
-    return words.withColumn("score", reduce(Column.__add__, parts)).drop("_w").where("score > 0")
+    # every weight is positive: a score is above 0 where a term occurs
+    hits = tokenised(docs).where(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(terms)))))
+    return hits.withColumn("score", reduce(Column.__add__, parts)).drop("_w")
 
 
 def top_texts(docs: DataFrame, query: str, stats: Stats, k: int = TOP_K, where: Column | None = None) -> DataFrame:
