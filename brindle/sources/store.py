@@ -115,24 +115,39 @@ class FileStore(MemoryStore):
 
 
 class HadoopStore(MemoryStore):
-    """The same on any Hadoop file system (s3a, hdfs, abfs); exclusive creation is the file system's."""
+    """The same on any Hadoop file system with an atomic rename (hdfs, abfs, viewfs of them; local files are linked).
+
+    A version is written whole under another name and renamed without replacing, so it appears complete and once. A plain
+    s3a bucket has no such rename: there two writers can both succeed, and ``exclusive`` says so."""
 
     def __init__(self, spark, root: str):
         self._jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
+        uri = self._fs.getUri()
+        self._local = uri.getScheme() == "file"
+        self.exclusive = uri.getScheme() not in ("s3", "s3a", "s3n")
 
     def _path(self, key: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}" if key else self.root)
 
     def _create(self, key: str, version: int, body: bytes) -> None:
+        final, temporary = (self._path(f"{key}@/{name}") for name in (f"{version:020d}", f".{uuid.uuid4().hex}"))
+        out = self._fs.create(temporary, False)
+        out.write(bytearray(body))
+        out.close()
         try:
-            out = self._fs.create(self._path(f"{key}@/{version:020d}"), False)
+            if self._local:
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+            else:
+                never_replace = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(temporary, final, never_replace)
         except Exception as e:
-            if "AlreadyExists" in str(e):
+            if isinstance(e, FileExistsError) or "FileAlreadyExists" in str(e):
                 raise PreconditionFailed(key) from e
             raise
-        out.write(bytearray(body))
-        out.close()
+        finally:
+            self._fs.delete(temporary, False)
 
     def _newest(self, key: str) -> int:
         folder = self._path(f"{key}@")
@@ -151,7 +166,8 @@ class HadoopStore(MemoryStore):
         files, found = self._fs.listFiles(self._path(""), True), set()
         start = len(self._jvm.org.apache.hadoop.fs.Path(self.root).toUri().getPath()) + 1
         while files.hasNext():
-            folder = files.next().getPath().getParent().toUri().getPath()
-            if folder.endswith("@"):
+            path = files.next().getPath()
+            folder = path.getParent().toUri().getPath()
+            if folder.endswith("@") and not path.getName().startswith("."):
                 found.add(folder[start:-1])
         return sorted(k for k in found if k.startswith(prefix))
