@@ -6,12 +6,17 @@ Ids are strings, so that ties break bytewise; doubles are rounded to six places.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, text, vector
 from ..operators import attrs, fold, ivf, measure, quant, rank
+from ..sources.store import MemoryStore
 from ..streaming import queue
+from .namespace import Config, Namespace, text_value
 
 QUERIES: dict = {}
 
@@ -30,7 +35,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label", "vec_id")
+    """With its schema given, so that no job reads file footers for it."""
+    rows = spark.read.schema("vec_id long, embedding array<float>, label int").parquet(f"{sf}/embeddings.parquet")
+    return rows.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label", "vec_id")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,7 +342,7 @@ def bm25_no_hits(spark, sf):
 def bm25_indexed(spark, sf):
     """The same ranking from an index of postings."""
     docs = documents(spark, sf)
-    index = rank.postings(docs).join(rank.doc_lengths(docs), "id")
+    index = rank.index_rows(docs)
     scored = rank.indexed_scores(index, QUERY_TEXT, rank.Stats.of(docs, text.query_terms(QUERY_TEXT)))
     return scored.orderBy(F.desc("score"), "id").limit(rank.TOP_K).select("id", r6("score"))
 
@@ -501,3 +508,101 @@ def overlay_vec_half(spark, sf):
 @query
 def overlay_tombstone_half(spark, sf):
     return _overlay_half(spark, sf).select("id", F.col("vector").isNotNull().alias("has_vector"))
+
+
+@query
+def parse_vector_whole(spark, sf):
+    """N15 over all components."""
+    rows = vectors(spark, sf)
+    back = vector.parse_vector(F.array_join(F.col("vector").cast("array<string>"), " , "))
+    return rows.select("id", F.size(back).cast("long").alias("n"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+def _space(spark, config):
+    """A new namespace whose tables lie in the shared folder of the session, in local mode alone in one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="brindle-")
+    ns = Namespace(spark, MemoryStore(), f"{where.rstrip('/')}/namespaces-{uuid.uuid4().hex}", "ns")
+    ns.create(config)
+    return ns
+
+
+def _vector_documents(rows):
+    return rows.select("id", "vector", F.to_json(F.struct("label")).alias("attributes"), F.lit(False).alias("deleted"))
+
+
+def _text_documents(docs):
+    return docs.select("id", F.lit(None).cast("array<float>").alias("vector"), F.to_json(F.struct(F.col("text").alias("body"), "lang", "source")).alias("attributes"), F.lit(False).alias("deleted"))
+
+
+def _tombstones(rows):
+    return rows.select("id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("attributes"), F.lit(True).alias("deleted"))
+
+
+@query
+def ns_upsert_delete(spark, sf):
+    """Every third vector written again, scaled, then every seventh deleted; what lives."""
+    rows, ns = vectors(spark, sf), _space(spark, Config(64))
+    ns.upsert(_vector_documents(rows))
+    ns.upsert(_vector_documents(rows.where("vec_id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: (x * F.lit(2.0)).cast("float")))))
+    ns.upsert(_tombstones(rows.where("vec_id % 7 = 0")))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return ns.live().select("id", F.round(total, 5).alias("total"), F.try_variant_get("attributes", "$.label", "int").alias("label"))
+
+
+@query
+def ns_branch(spark, sf):
+    """A fork sees what was there when it was made and its own deletions, not what the parent writes later."""
+    rows, ns = vectors(spark, sf), _space(spark, Config(64))
+    ns.upsert(_vector_documents(rows.where("vec_id % 2 = 0")))
+    child = ns.branch("child")
+    ns.upsert(_vector_documents(rows.where("vec_id % 2 = 1")))
+    child.upsert(_tombstones(rows.where("vec_id % 7 = 0")))
+    own = child.live().select("id", F.lit("child").alias("space"))
+    return own.unionByName(ns.live().select("id", F.lit("parent").alias("space")))
+
+
+def _half_indexed(spark, sf, config, rows, key, half, documents_of):
+    """A namespace whose rows below ``half`` are indexed and whose others are the tail."""
+    ns = _space(spark, config)
+    ns.upsert(documents_of(rows.where(F.col(key) < half)))
+    ns.index()
+    ns.upsert(documents_of(rows.where(F.col(key) >= half)))
+    return ns
+
+
+@query
+def ns_query_vector(spark, sf):
+    """A vector query with a filter over an indexed half and its tail."""
+    ns = _half_indexed(spark, sf, Config(64), vectors(spark, sf), "vec_id", _half(spark, sf, "embeddings", "vec_id"), _vector_documents)
+    found = ns.query(vector=query_vector(spark, sf), where=_eq("label", 3))
+    return found.select("id", F.get_json_object("attributes", "$.label").cast("int").alias("label"), r6("dist"))
+
+
+@query
+def ns_query_text(spark, sf):
+    """A text query with a filter over an indexed half and its tail; all attributes come back."""
+    ns = _half_indexed(spark, sf, Config(64, text_field="body"), documents(spark, sf), "doc_id", _half(spark, sf, "documents", "doc_id"), _text_documents)
+    found = ns.query(text=QUERY_TEXT, where=_eq("lang", "de"))
+    of = F.from_json("attributes", "body string, lang string, source string")
+    return found.select("id", r6("score"), of["lang"].alias("lang"), of["source"].alias("source"), F.length(of["body"]).alias("body_chars"))
+
+
+@query
+def text_field_value(spark, sf):
+    """The text field where it is a string, else the empty text; here some documents hold a number there, some nothing."""
+    docs = documents(spark, sf)
+    body = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("n_chars").alias("body")))).when(F.col("doc_id") % 5 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.col("text").alias("body"))))
+    return docs.select("id", F.length(F.coalesce(text_value(F.parse_json(body), "body"), F.lit(""))).cast("long").alias("chars"))
+
+
+@query
+def attr_filter_candidates(spark, sf):
+    """Documents that a nested filter leaves, from the index of free-form attributes alone."""
+    docs = documents(spark, sf).select("id", F.to_json(F.struct("lang", "source", "n_chars")).alias("attributes"))
+    found = attrs.variant_entries(docs, "attributes")
+    spec = {"op": "or", "sub": [{"op": "and", "sub": [_eq("lang", "en"), _eq("source", "src0")]}, _eq("source", "src1"), _eq("nowhere", 1)]}
+    return attrs.candidates(found, spec, {"lang", "source"}, {"n_chars"})

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters
@@ -20,11 +21,21 @@ from ..functions.vector import COSINE, L2, choose_k, distance
 from ..operators import attrs, fold, ivf, quant, rank
 from ..sources.documents import from_python
 from ..sources.store import NotFound, PreconditionFailed
+from .cache import Cache
 
+READERS = 16
 #: Attempts to claim a log position and to swap the manifest; branches on branches.
 CLAIM_ATTEMPTS, SWAP_ATTEMPTS, MAX_DEPTH = 64, 10, 64
 
 
+def text_value(attributes: Column, field: str) -> Column:
+    """The text field of a VARIANT where it is a string; else null."""
+    if not field:
+        return F.lit(None).cast("string")
+    value = F.try_variant_get(attributes, f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 class QueryError(ValueError):
     """A query that the namespace cannot answer."""
 
@@ -56,27 +67,38 @@ class Manifest:
     fork_seq: int = 0
     fork_indexed: int = 0
     fork_epoch: int = 0
+    index_key: str = ""
+    fork_key: str = ""
 
 
 @dataclass(frozen=True)
 class View:
-    """Log ranges, oldest first, and the epoch that covers the log up to ``covered``."""
+    """Log ranges, oldest first, and the key of the epoch that covers the log up to ``covered``."""
 
     runs: list
     index: str | None
-    epoch: int
     covered: int
     end: int
 
 
+@dataclass(frozen=True)
+class Build:
+    """An epoch that is written but not published: its key, what it covers, its documents."""
+
+    key: str
+    covers: int
+    doc_count: int
+
+
 class Namespace:
     """A handle; nothing is read until it is used. ``store`` holds manifests and segments, ``data`` is the folder of tables."""
 
-    def __init__(self, spark: SparkSession, store, data: str, name: str):
+    def __init__(self, spark: SparkSession, store, data: str, name: str, cache: Cache | None = None):
         self.spark, self.store, self.data, self.name = spark, store, data.rstrip("/"), name
+        self.cache = cache or Cache()
 
     def _at(self, name: str) -> Namespace:
-        return Namespace(self.spark, self.store, self.data, name)
+        return Namespace(self.spark, self.store, self.data, name, self.cache)
 
     # manifests
 
@@ -158,12 +180,11 @@ class Namespace:
     # the log
 
     def segments(self, first: int, end: int) -> list[dict]:
-        """The segments of [first, end); a missing one is an error."""
-        out = []
-        for seq in range(first, end):
-            body, _ = self.store.get(f"{self.name}/wal/{seq:020d}")
-            out.append(json.loads(body) | {"seq": seq})
-        return out
+        """The segments of [first, end), READERS read at a time; a missing one is an error."""
+        if end <= first:
+            return []
+        with ThreadPoolExecutor(READERS) as pool:
+            return list(pool.map(lambda seq: json.loads(self.store.get(f"{self.name}/wal/{seq:020d}")[0]) | {"seq": seq}, range(first, end)))
 
     def log(self, first: int, end: int) -> DataFrame:
         """``seq, pos, id, vector, attributes (VARIANT), deleted``, from exactly the files of the segments."""
@@ -184,36 +205,32 @@ class Namespace:
             raise ValueError("a namespace cannot be branched onto itself")
         m, _ = self.manifest()
         new = self._at(child)
-        new._create(Manifest(m.dimension, m.metric, m.text_field, 1, m.wal_seq, m.indexed_up_to if m.epoch else 0, 0, m.doc_count, self.name, m.wal_seq, m.indexed_up_to if m.epoch else 0, m.epoch))
+        covered = m.indexed_up_to if m.epoch else 0
+        new._create(Manifest(m.dimension, m.metric, m.text_field, 1, m.wal_seq, covered, 0, m.doc_count, self.name, m.wal_seq, covered, m.epoch, fork_key=m.index_key))
         return new
 
     def view(self) -> View:
         """What a read sees. An ancestor's epoch is only used as it was recorded at the fork, so that nothing the
         ancestor wrote later shows; without a recorded one the log answers."""
         head, _ = self.manifest()
-        runs, index, epoch, covered = [], (self.name if head.epoch else None), head.epoch, head.indexed_up_to
+        runs, index, covered = [], head.index_key, head.indexed_up_to
         m, name, end = head, self.name, head.wal_seq
         for _ in range(MAX_DEPTH):
             if end > m.fork_seq:
                 runs.insert(0, (name, m.fork_seq, end))
             if m.parent is None:
                 break
-            if index is None and m.fork_epoch:
-                index, epoch, covered = m.parent, m.fork_epoch, min(m.fork_indexed, m.fork_seq)
+            if not index and m.fork_key:
+                index, covered = m.fork_key, min(m.fork_indexed, m.fork_seq)
             name, end = m.parent, min(end, m.fork_seq)
             m, _ = self._at(name).manifest()
         else:
             raise ValueError(f"more than {MAX_DEPTH} branches on branches")
-        if index is not None and not self._covers(index, epoch):
-            index, epoch, covered = None, 0, 0
-        return View(runs, index, epoch if index else 0, covered if index else 0, head.wal_seq)
-
-    def _covers(self, name: str, epoch: int) -> bool:
         try:
-            self.store.get(f"{name}/epochs/{epoch:020d}")
+            covered = min(covered, self._meta(index)["covers"]) if index else 0  # never more than what the epoch says itself
         except NotFound:
-            return False
-        return True
+            index, covered = "", 0
+        return View(runs, index or None, covered, head.wal_seq)
 
     def _log_of(self, view: View, first: int, end: int) -> DataFrame:
         parts = [self._at(name).log(max(a, first), max(a, first, min(b, end))) for name, a, b in view.runs]
@@ -229,41 +246,67 @@ class Namespace:
 
     # the index
 
-    def _epoch_path(self, name: str, epoch: int) -> str:
-        return f"{self.data}/{name}/index/v{epoch}"
-
     def index(self) -> int:
-        """Builds the next epoch over the log as it is now and publishes it with one swap."""
+        """Builds the next epoch over the log as it is now, publishes it, and returns the number of the published one."""
+        return self.publish(self.build())
+
+    def build(self) -> Build:
+        """Writes an epoch under a key and a path of its own, which no other builder's can overwrite."""
         m, _ = self.manifest()
         up_to = m.wal_seq
         v = self.view()
-        text = F.try_variant_get("attributes", f"$.{m.text_field}", "string") if m.text_field else F.lit(None).cast("string")
-        is_text = F.schema_of_variant(F.try_variant_get("attributes", f"$.{m.text_field}", "variant")) == "STRING" if m.text_field else F.lit(False)
-        docs = fold.live(self._log_of(v, 0, up_to)).select("id", "vector", F.to_json("attributes").alias("attributes"), F.when(is_text, text).alias("text"))
-        epoch = m.epoch + 1
-        path = f"{self._epoch_path(self.name, epoch)}-{uuid.uuid4().hex}"
+        docs = fold.live(self._log_of(v, 0, up_to)).select("id", "vector", F.to_json("attributes").alias("attributes"), text_value(F.col("attributes"), m.text_field).alias("text"))
+        own = uuid.uuid4().hex
+        path = f"{self.data}/{self.name}/index/{own}"
         docs.write.parquet(f"{path}/docs")
         docs = self.spark.read.parquet(f"{path}/docs")
         vectors = docs.where("vector is not null").select("id", "vector")
         n_docs, n_vectors = docs.count(), vectors.count()
         centroids: dict = {}
         if n_vectors:
-            before = self._meta(v.index, v.epoch)["centroids"] if v.index == self.name else {}
-            centroids = ivf.maintain(vectors, {int(c): x for c, x in before.items()}, m.metric) if before else ivf.full_cluster(vectors, n_vectors, m.metric)
+            centroids = self._clusters(m, vectors, n_vectors)
             placed = quant.encode_rows(ivf.assign(vectors, centroids, m.metric), centroids, m.dimension)
             placed.repartition("cluster").write.partitionBy("cluster").parquet(f"{path}/vectors")
         stats = {"n": n_docs, "avgdl": 0.0}
         if m.text_field:
-            posted = rank.postings(docs).join(rank.doc_lengths(docs), "id")
-            posted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+            rank.index_rows(docs).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
             stats["avgdl"] = rank.corpus_stats(docs).first()["avgdl"]
-        meta = {"path": path, "centroids": centroids, "stats": stats, "vectors": n_vectors, "covers": up_to}
-        self.store.put(f"{self.name}/epochs/{epoch:020d}", json.dumps(meta).encode())
-        self.swap(lambda now: replace(now, epoch=max(now.epoch, epoch), indexed_up_to=max(now.indexed_up_to, up_to), doc_count=n_docs))
-        return epoch
+        attrs.variant_entries(docs, "attributes", m.text_field).write.parquet(f"{path}/entries")
+        found = self.spark.read.parquet(f"{path}/entries")
+        fields = {r["field"] for r in attrs.indexed_fields(found, n_docs).collect()}
+        skipped = {r["field"] for r in found.select("field").distinct().collect()} - fields
+        kept = found.where(F.col("field").isin(*sorted(fields))) if fields else found.where(F.lit(False))
+        kept.repartitionByRange("field", "value_key", "id").sortWithinPartitions("field", "value_key", "id").write.parquet(f"{path}/attrs")
+        tree = ivf.tree({int(c): x for c, x in centroids.items()}, metric=m.metric) if len(centroids) > 1 else None
+        meta = {"path": path, "centroids": centroids, "tree": tree, "stats": stats, "vectors": n_vectors, "covers": up_to, "fields": sorted(fields), "skipped": sorted(skipped)}
+        key = f"{self.name}/epochs/{own}"
+        self.store.put_if_absent(key, json.dumps(meta).encode())
+        return Build(key, up_to, n_docs)
+
+    def publish(self, build: Build) -> int:
+        """One swap sets epoch, key and coverage together; a build that covers less than the published one is left aside."""
+
+        def change(now: Manifest) -> Manifest:
+            if now.index_key and now.indexed_up_to >= build.covers:
+                return now
+            return replace(now, epoch=now.epoch + 1, index_key=build.key, indexed_up_to=build.covers, doc_count=build.doc_count if now.wal_seq == build.covers else now.doc_count)
+
+        now, _ = self.manifest()
+        return now.epoch if change(now) is now else self.swap(change).epoch
+
+    def _clusters(self, m: Manifest, vectors: DataFrame, n: int) -> dict:
+        """The centroids of the epoch before, kept up; those of a full clustering where there is none or it cannot be read."""
+        if m.index_key:
+            try:
+                before = {int(c): x for c, x in self._meta(m.index_key)["centroids"].items()}
+            except (NotFound, ValueError, KeyError):
+                before = {}
+            if before:
+                return ivf.maintain(vectors, before, m.metric)
+        return ivf.full_cluster(vectors, n, m.metric)
 
-    def _meta(self, name: str, epoch: int) -> dict:
-        return json.loads(self.store.get(f"{name}/epochs/{epoch:020d}")[0])
+    def _meta(self, key: str) -> dict:
+        return json.loads(self.cache.get(key, lambda: self.store.get(key)[0]))
 
     # queries
 
@@ -300,20 +343,41 @@ class Namespace:
         live = tail.where("not deleted").select("id", "vector", "attributes")
         if v.index is None:
             return None, live, tail.select("id")
-        docs = self.spark.read.parquet(f"{self._meta(v.index, v.epoch)['path']}/docs").withColumn("attributes", F.parse_json("attributes"))
+        docs = self.spark.read.parquet(f"{self._meta(v.index)['path']}/docs").withColumn("attributes", F.parse_json("attributes"))
         return docs.join(tail.select("id"), "id", "left_anti"), live, tail.select("id")
 
     def _by_vector(self, m: Manifest, v: View, q: list[float], k: int, spec: dict | None, approx: bool, n_probe: int) -> DataFrame:
         indexed, live, tail = self._rows(v)
         rows = live
         if indexed is not None:
-            meta = self._meta(v.index, v.epoch)
-            if approx and meta["vectors"]:
+            meta = self._meta(v.index)
+            plan = self._plan(meta, spec)
+            if plan["filter_first"]:
+                indexed = indexed.join(plan["ids"], "id", "left_semi")
+            elif approx and meta["vectors"]:
                 indexed = indexed.join(self._shortlist(m, meta, q, k, indexed.where(self._filter(spec)).select("id"), n_probe), "id", "left_semi")
             rows = indexed.select("id", "vector", "attributes").unionByName(live)
         top = rank.top_vectors(rows, q, k, m.metric, self._filter(spec))
         return top.select("id", "dist", F.to_json("attributes").alias("attributes"))
 
+    def _plan(self, meta: dict, spec: dict | None) -> dict:
+        """Whether the attribute index answers the filter, how many documents it leaves, and whether those are looked up first."""
+        plan = {"usable": False, "total": meta["stats"]["n"], "hits": None, "filter_first": False, "ids": None}
+        index = self.spark.read.schema("id string, field string, value_key string").parquet(f"{meta['path']}/attrs")
+        ids = attrs.candidates(index, spec, set(meta["fields"]), set(meta["skipped"]))
+        if ids is None:
+            return plan
+        hits = ids.count()
+        return plan | {"usable": True, "hits": hits, "filter_first": hits < attrs.FILTER_FIRST * plan["total"], "ids": ids}
+
+    def plan(self, where: dict | None) -> dict:
+        """The plan of a filter over the published epoch: ``usable, total, hits, filter_first``."""
+        v = self.view()
+        if v.index is None:
+            return {"usable": False, "total": 0, "hits": None, "filter_first": False}
+        found = self._plan(self._meta(v.index), where)
+        return {k: x for k, x in found.items() if k != "ids"}
+
     def _shortlist(self, m: Manifest, meta: dict, q: list[float], k: int, allowed: DataFrame, n_probe: int) -> DataFrame:
         """Ids that the filter leaves in the nearest clusters: all of as many clusters as hold SHARE of them and k, so that
         the searched share doesn't shrink as clusters grow; of ``n_probe`` clusters, if given, those with the best estimates."""
@@ -322,7 +386,7 @@ class Namespace:
             placed = self.spark.read.parquet(f"{meta['path']}/vectors").select("id", "cluster").join(allowed, "id", "left_semi")
             sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # clusters
             return placed.where(F.col("cluster").isin(ivf.enough(ivf.probe(centroids, q, len(centroids), m.metric), sizes, k))).select("id")
-        probes = ivf.probe(centroids, q, n_probe, m.metric)
+        probes, _ = ivf.route(centroids, meta["tree"], q, n_probe, m.metric)
         codes = self.spark.read.parquet(f"{meta['path']}/vectors").where(F.col("cluster").isin(probes)).join(allowed, "id", "left_semi")
         est = quant.estimates(codes, {c: centroids[c] for c in probes}, np.array(q, np.float32), m.metric, m.dimension)
         return est.orderBy("est", "id").limit(ivf.RERANK * k).select("id")
@@ -330,13 +394,12 @@ class Namespace:
     def _by_text(self, m: Manifest, v: View, text: str, k: int, spec: dict | None) -> DataFrame:
         """Statistics are the index's until the next build; the tail's texts are scored with them."""
         indexed, live, tail = self._rows(v)
-        field = F.try_variant_get("attributes", f"$.{m.text_field}", "variant")
-        body = F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+        body = text_value(F.col("attributes"), m.text_field)
         terms = sorted(set(query_terms(text)))
         stats = rank.Stats()
         scored = None
         if indexed is not None and terms:
-            meta = self._meta(v.index, v.epoch)
+            meta = self._meta(v.index)
             posted = self.spark.read.parquet(f"{meta['path']}/postings").where(F.col("term").isin(terms))
             stats = rank.Stats(meta["stats"]["n"], meta["stats"]["avgdl"], {r["term"]: r["count"] for r in posted.groupBy("term").count().collect()})
             scored = rank.indexed_scores(posted, text, stats).join(indexed.select("id", "attributes"), "id")
@@ -349,7 +412,7 @@ class Namespace:
         """For recall tests: the best ids by the quantized estimate, or by agreement of plain signs."""
         m, _ = self.manifest()
         v = self.view()
-        meta = self._meta(v.index, v.epoch)
+        meta = self._meta(v.index)
         centroids = {int(c): x for c, x in meta["centroids"].items()}
         rows = self.spark.read.parquet(f"{meta['path']}/vectors")
         if by == "estimate":
@@ -362,4 +425,4 @@ class Namespace:
         return [r["id"] for r in rows.select("id", same.alias("s")).orderBy(F.desc("s"), "id").limit(limit).collect()]
 
 
-__all__ = ["Config", "Manifest", "Namespace", "QueryError", "View", "choose_k", "distance", "tokens", "attrs"]
+__all__ = ["Build", "Config", "Manifest", "Namespace", "QueryError", "View", "choose_k", "distance", "tokens", "attrs"]

@@ -162,3 +162,16 @@ ORACLES |= {f"{name}_hundredth": ORACLES[name].replace(f"vec_id < {BATCH}", "vec
 _EARLY = "(SELECT (max(vec_id) + 1) // 2 - (max(vec_id) + 1) // 2 // 5 FROM embeddings)"
 ORACLES |= {f"{name}_half": ORACLES[name].replace(f"vec_id >= {SPLIT - 100}", f"vec_id >= {_EARLY}").replace(f"vec_id < {SPLIT - 100}", f"vec_id < {_EARLY}") for name in ("overlay_vec", "overlay_tombstone")}
 ORACLES["bm25_tail_overlay_half"] = ORACLES["bm25_tail_overlay"].replace(f"doc_id < {SPLIT}", "doc_id < (SELECT (max(doc_id) + 1) // 2 FROM documents)")
+
+_HALF = "(SELECT (max(doc_id) + 1) // 2 FROM documents)"
+_SUM = "list_sum(list_transform(v, lambda x: x))"
+ORACLES |= {
+    "parse_vector_whole": f"SELECT id, len(v)::BIGINT AS n, round({_SUM}, 5) AS total FROM {_E}",
+    "ns_upsert_delete": f"SELECT id, round({_SUM} * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 5) AS total, label FROM {_E} WHERE vec_id % 7 <> 0",
+    "ns_branch": f"SELECT id, 'child' AS space FROM {_E} WHERE vec_id % 2 = 0 AND vec_id % 7 <> 0 UNION ALL SELECT id, 'parent' FROM {_E}",
+    "ns_query_vector": _ordered_top(where="label = 3", columns=_L),
+    "ns_query_text": f"""SELECT s.id, round(s.score, 6) AS score, d.lang, d.source, length(d.text)::INT AS body_chars
+      FROM (SELECT * FROM ({_scores(QUERY_TEXT, where="d.lang = 'de'", indexed=f"doc_id < {_HALF}")}) ORDER BY score DESC, id LIMIT {TOP_K}) s JOIN {_D} d ON d.id = s.id""",
+    "text_field_value": f"SELECT id, (CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 0 ELSE length(coalesce(text, '')) END)::BIGINT AS chars FROM {_D}",
+    "attr_filter_candidates": f"SELECT id FROM {_D} WHERE (lang = 'en' AND source = 'src0') OR source = 'src1'",
+}
