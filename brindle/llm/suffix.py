@@ -32,7 +32,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._groups import block_pairs, groups
@@ -444,12 +444,13 @@ def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     """``doc_id, tag, places``: for each text that repeats something, its segments (start, spans of repeated windows)."""
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {id_kind}, tag int, key long, kind long, start int, windows short"
-    # counted per batch before the shuffle; both groupings use the one exchange by minimizer
+    # counted per batch before the shuffle; grouping and window use the one exchange by minimizer
     kinds = rows.mapInArrow(_kinds(window), f"{shape}, n long").repartition("key").groupBy("key", "kind").agg(
         F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "tag", "start", "windows"))
     )
-    sums = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    hot = written(kinds.join(sums, "key").select(*kinds.columns, "kinds"), "repeated")
+    own = Window.partitionBy("key")
+    sums = kinds.withColumns({"kinds": F.count(F.lit(1)).over(own), "_total": F.sum("n").over(own)})
+    hot = written(sums.where("_total > 1").drop("_total"), "repeated")
 
     asked = hot.where("kinds > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "kind", "n", "start", "windows", (F.col("kinds") > BLOCK).alias("many"))).alias("asked"))
     texts = rows.select(F.col("doc_id").alias("_id"), "text")
