@@ -168,15 +168,20 @@ def test_packing_balances_cost():
     assert np.std(full) < 0.5 * np.std([naive[k] for k in range(len(full))])
 
 
-def test_line_dedup(docs):
+def brute_lines(all_rows):
+    """``id, remaining text, lines, dropped lines`` of each row."""
     key = lambda line: line.strip(" \t\n\v\f\r").translate(LOWER)
     found = collections.defaultdict(set)
-    for i, t in rows(docs):
+    for i, t in all_rows:
         if i is not None:
             for line in t.split("\n"):
                 found[key(line)].add(i)
     drop = lambda i, line: i is not None and len(key(line)) >= 20 and len(found[key(line)]) >= 3 and i < max(found[key(line)])
-    want = [(i, "\n".join(x for x in t.split("\n") if not drop(i, x)), len(t.split("\n")), sum(drop(i, x) for x in t.split("\n"))) for i, t in rows(docs)]
+    return [(i, "\n".join(x for x in t.split("\n") if not drop(i, x)), len(t.split("\n")), sum(drop(i, x) for x in t.split("\n"))) for i, t in all_rows]
+
+
+def test_line_dedup(docs):
+    want = brute_lines(rows(docs))
     out = linededup.line_dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert bag((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == bag(want)
@@ -203,12 +208,13 @@ def langid_of(docs):
     return langid.predict(docs, langid.train(docs))
 
 
-def test_near_duplicates(docs, monkeypatch):
+def brute_components(all_rows):
+    """``id, shingles, component, kept`` of each row."""
+
     def grams(t):
         w = WORD.findall(t.translate(LOWER))
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    all_rows = rows(docs)
     up = {i: i for i, _ in all_rows}
 
     def find(x):
@@ -216,15 +222,18 @@ def test_near_duplicates(docs, monkeypatch):
             x = up[x]
         return x
 
-    for a, s in all_rows:
-        for b, t in all_rows:
-            x, y = grams(s), grams(t)
+    sets = [(i, grams(t)) for i, t in all_rows]
+    for a, x in sets:
+        for b, y in sets:
             if None not in (a, b) and x and y and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = find(a), find(b)
                 up[max(p, q)] = min(p, q)
-    want = bag((i, len(grams(t)), None if i is None else find(i), i is None or find(i) == i) for i, t in all_rows)
-    got = lambda: bag(tuple(r) for r in minhash.near_duplicates(docs).collect())
-    assert got() == want
+    return [(i, len(x), None if i is None else find(i), i is None or find(i) == i) for i, x in sets]
+
+
+def test_near_duplicates(docs):
+    want = brute_components(rows(docs))
+    assert bag(tuple(r) for r in minhash.near_duplicates(docs).collect()) == bag(want)
     assert sum(not w[3] for w in want) >= 3
 
 
@@ -580,24 +589,63 @@ def test_shards_follow_bytes_and_runs_merge_in_many_jobs(spark, docs, tmp_path,
     assert len(store.shards()) < len(sizes) and bag(map(tuple, store.read(long.schema).collect())) == bag(map(tuple, long.collect()))
 
 
+def brute_kept(made):
+    """Whether the quality rules keep each row ``(id, text, _, host, _)``."""
+    judged = []
+    for _, text, _, host, _ in made:
+        w = WORD.findall(text or "")
+        windows = collections.Counter(zip(w, w[1:], w[2:]))
+        twice = {p for k, g in enumerate(zip(w, w[1:], w[2:])) if windows[g] > 1 for p in (k, k + 1, k + 2)}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        base = len(w) < 50 or 100 * len(twice) > 50 * len(w)
+        judged.append((host, base, sum(c in "#*$%&|<>" for c in text or "") > quality.MAX_SYMBOLS_PER_WORD * len(w) or len(lines) - len(set(lines)) > quality.MAX_DUP_LINE_SHARE * len(lines)))
+    n, bad = collections.Counter(h for h, _, _ in judged), collections.Counter(h for h, base, more in judged if base or more)
+    total, failed = sum(n.values()), sum(bad.values())
+    mean = failed / total
+    room = total - len(n) + 1 - sum(x * x for x in n.values()) / total
+    around = sum(n[h] * (bad[h] / n[h] - mean) ** 2 for h in n)
+    r = (around / (mean * (1 - mean)) - (len(n) - 1)) / room if 0 < mean < 1 and room > 0 else 0
+    strength = min(quality.PRIOR_MOST, max(quality.PRIOR_LEAST, 1 / r - 1)) if r > 0 else quality.PRIOR_MOST
+    rate = {h: (bad[h] + mean * strength) / (n[h] + strength) for h in n}
+    return [not base and (rate[h] <= quality.WATCH or rate[h] <= quality.BAD and not more) for h, base, more in judged]
+
+
 def test_pipeline(spark, docs, tmp_path):
     """Each stage against brute force over what the one before kept."""
-    import corpus_pipeline as cp
-
-    long = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.concat("text", F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(55)), lambda k: F.md5(F.concat_ws("-", k, "doc_id", "text"))), " "))))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(55)), lambda k: F.md5(F.concat_ws("-", k, "doc_id", "text"))), " ")
+    long = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.concat("text", F.lit("\n"), own)))
     long.drop("key").write.parquet(f"{tmp_path}/documents.parquet")
     d = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, stage in cp.STAGES[:4]:
-        before, d = bag(tuple(r) for r in d.collect()), stage(spark, d, str(tmp_path))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, d = sorted((tuple(r) for r in d.collect()), key=str), stage(spark, d, str(tmp_path))
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after = [tuple(r) for r in d.collect()]
+        texts = [(r[0], r[1] or "") for r in before]
+        sizes.append((len(before), len(after)))
+        rest = lambda r: (r[0], r[2], r[3])
         if name == "quality_rules":
-            kept = {(r["doc_id"]) for r in quality.quality_report(spark.createDataFrame(before, d.schema)).where("kept").collect()}
-            assert bag(after) == [r for r in before if r[0] in kept]
-        if name == "near_dedup":
-            assert len(after) < len(before) and set(after) <= set(before)
-        if name == "suffix_dedup":
-            gone = brute_removed([(r[1] or "").encode() for r in before], 200)
-            assert bag((r[0], len((r[1] or "").encode())) for r in after) == bag((r[0], n - x) for r, (n, x, _, _) in zip(before, gone))
+            assert bag(after) == bag(r for r, keep in zip(before, brute_kept(before)) if keep)
+        elif name == "line_dedup":
+            assert bag((*rest(r), r[1]) for r in after) == bag((*rest(r), x[1]) for r, x in zip(before, brute_lines(texts)))
+        elif name == "near_dedup":
+            assert bag(after) == bag(r for r, x in zip(before, brute_components(texts)) if x[3])
+        else:
+            gone = brute_removed([t.encode() for _, t in texts], 200)
+            assert bag((*rest(r), len((r[1] or "").encode())) for r in after) == bag((*rest(r), n - x) for r, (n, x, _, _) in zip(before, gone))
+            assert all((r[1] or "").encode() in {kept for _, _, _, kept in gone} for r in after if (r[1] or "").isascii())
+        assert name in ("quality_rules", "near_dedup") or all(r[4] == len(r[1]) for r in after)
         d = spark.createDataFrame(after, d.schema)
-    assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == {r[0] for r in after}
+    assert sizes[0][0] > sizes[0][1] > 10 and sizes[2][0] > sizes[2][1]
+    tok, pieces = Tokenizer.from_file(JSON), collections.Counter()
+    for r in corpus_pipeline.STAGES[4][1](spark, d, str(tmp_path)).collect():
+        pieces[r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]] += 1
+    want = [(r[0], tok.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in after]
+    assert sum(n * k for (_, _, n, _, _), k in pieces.items()) == sum(len(ids) for _, ids in want)
+    for (i, s, n, crc, n_all), _ in pieces.items():
+        assert any(j == i and len(ids) == n_all and zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == crc for j, ids in want)
+
+
+def test_pipeline_over_no_rows(spark, docs, tmp_path):
+    docs.drop("key").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
