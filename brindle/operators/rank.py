@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from heapq import nsmallest
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import idf, query_terms, term_score, tokens
-from ..functions.vector import COSINE, distance
+from ..functions.vector import COSINE, L2, distance
+from ._arrow import matrix
 
 #: Results, fusion constant, window of each leg per result asked for.
 TOP_K, RRF_K, WIDEN = 10, 60, 5
+#: Rows and queries of the blocks that batches of queries are ranked in.
+ROWS, ASKED = 4096, 512
 
 
 def top_vectors(rows: DataFrame, query: Sequence[float], k: int = TOP_K, metric: str = COSINE, where: Column | None = None) -> DataFrame:
@@ -23,19 +29,87 @@ def top_vectors(rows: DataFrame, query: Sequence[float], k: int = TOP_K, metric:
     return kept.withColumn("dist", distance(metric, F.col("vector"), query)).orderBy("dist", "id").limit(k or TOP_K)
 
 
-def batch_top_vectors(rows: DataFrame, queries: dict[str, Sequence[float]], k: int = TOP_K, metric: str = COSINE) -> DataFrame:
-    """The k nearest of each query. Queries are literals, so the vectors are read once and only k rows a task and query travel."""
-    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("query"), F.lit([float(x) for x in v]).cast("array<float>").alias("q")) for name, v in queries.items())))
-    scored = rows.where("vector is not null").select("id", "vector", asked.alias("a")).select("a.query", "id", distance(metric, F.col("vector"), F.col("a.q")).alias("dist"))
+def _blocks(rows: DataFrame, name: str, values: str, extra: str, size: int) -> DataFrame:
+    """``rows`` in blocks of at most ``size`` vectors, each one row of ``names``, ``flat`` components and ``more`` (``extra``)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                points, _ = matrix(part.column(1))
+                flat = pa.array([points.ravel().astype(np.float32)], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([_listed(part.column(0)), flat, _listed(part.column(2))], ["names", "flat", "more"])
+
+    kinds = [f"array<{rows.schema[c].dataType.simpleString()}>" for c in (name, extra)]
+    whole = rows.where(F.col(values).isNotNull()).select(name, values, extra)
+    return whole.mapInArrow(pack, f"names {kinds[0]}, flat array<float>, more {kinds[1]}")
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _near(metric: str, points: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, float]:
+    """Distances of all points (rows) to all asked (columns) up to rounding, which the second value bounds."""
+    size, wanted = np.sqrt(np.einsum("ij,ij->i", points, points)), np.sqrt(np.einsum("ij,ij->i", asked, asked))
+    with np.errstate(all="ignore"):
+        if metric == COSINE:
+            scale = np.outer(size, wanted)
+            return np.where(scale == 0, 1.0, 1.0 - np.fmax(-1.0, np.fmin(1.0, points @ asked.T / scale))), 1e-9
+        squares = size[:, None] ** 2 + wanted[None, :] ** 2
+        return np.maximum(squares - 2.0 * (points @ asked.T), 0.0), 1e-9 * float(np.nanmax(squares, initial=0.0))
+
+
+def _exactly(metric: str, points: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances to one query, row by row: equal vectors get equal distances wherever they stand."""
+    with np.errstate(all="ignore"):
+        if metric == COSINE:
+            scale = np.sqrt(np.einsum("ij,ij->i", points, points)) * np.sqrt(q @ q)
+            return np.where(scale == 0, 1.0, 1.0 - np.fmax(-1.0, np.fmin(1.0, (points * q).sum(1) / scale)))
+        return np.sqrt(((points - q) ** 2).sum(1))
+
+
+def batch_top_vectors(rows: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = COSINE, probed: bool = False) -> DataFrame:
+    """The k nearest rows (id, vector) of each of any number of queries (query, q): ``query, id, dist, rank``; ties by id.
+
+    Rows and queries meet in blocks, one matrix product a pair of blocks, and a pair sends at most k rows a query onwards. A task
+    holds one pair at a time (ROWS x ASKED distances), so neither many queries nor many equal vectors need more memory. With
+    ``probed``, rows carry their ``cluster`` and queries the ``clusters`` they look into; other rows are no candidates. Which side
+    is broadcast, if one is small enough, is Spark's choice by size. Vectors of several lengths are an error."""
+    if metric not in (COSINE, L2):
+        raise ValueError(f"unknown metric {metric!r}: expected {COSINE!r} or {L2!r}")
+    extra = ("cluster", "clusters") if probed else ("_none", "_none")
+    if not probed:
+        rows, queries = rows.withColumn("_none", F.lit(0)), queries.withColumn("_none", F.lit(0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, points, own, names, asked, wanted = (batch.column(c)[at].values for c in range(6))
+                points, asked = (x.to_numpy(zero_copy_only=False).astype(float).reshape(len(n), -1) for x, n in ((points, ids), (asked, names)))
+                if points.shape[1] != asked.shape[1]:
+                    raise ValueError(f"vectors of {points.shape[1]} components and queries of {asked.shape[1]}")
+                near, margin = _near(metric, points, asked)
+                near[np.isnan(near)] = np.inf
+                allowed = np.ones(near.shape, bool)
+                if probed:
+                    clusters = own.to_numpy(zero_copy_only=False)
+                    allowed = np.stack([np.isin(clusters, w) for w in wanted.to_pylist()], 1)
+                    near[~allowed] = np.inf
+                last = np.partition(near, min(k, len(ids)) - 1, axis=0)[min(k, len(ids)) - 1]
+                got_query, got_id, got_dist = [], [], []
+                for j in range(len(names)):
+                    short = np.flatnonzero((near[:, j] <= last[j] + margin) & allowed[:, j])
+                    dist = _exactly(metric, points[short], asked[j])
+                    for _, d, name in nsmallest(k, ((x != x, x, n) for x, n in zip(dist.tolist(), ids.take(pa.array(short)).to_pylist()))):
+                        got_query.append(j), got_id.append(name), got_dist.append(d)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(got_query, pa.int64())), pa.array(got_id, ids.type), pa.array(got_dist, pa.float64())], ["query", "id", "dist"])
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query"), (rows, "id"))]
+    left, right = _blocks(rows, "id", "vector", extra[0], ROWS), _blocks(queries, "query", "q", extra[1], ASKED)
+    pairs = left.crossJoin(right.toDF("_names", "_flat", "_more"))
     order = Window.partitionBy("query").orderBy("dist", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def join_top_vectors(rows: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = COSINE) -> DataFrame:
-    """The k nearest of each of any number of queries (query, q): a join in place of literals, so the plan doesn't grow with them."""
-    scored = rows.where("vector is not null").select("id", "vector").crossJoin(queries).select("query", "id", distance(metric, F.col("vector"), F.col("q")).alias("dist"))
-    order = Window.partitionBy("query").orderBy("dist", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.mapInArrow(score, f"query {kinds[0]}, id {kinds[1]}, dist double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:

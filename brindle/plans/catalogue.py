@@ -21,8 +21,7 @@ from .namespace import Config, Namespace, text_value
 QUERIES: dict = {}
 
 #: Parameters of the queries.
-BATCH, QUERY_TEXT, DUP_TEXT, TAIL_TEXT = 20, "the and thonor", "the the of", "the and of"
-SPLIT = 500  # documents and vectors with smaller ids are indexed, the others are the tail
+QUERY_TEXT, DUP_TEXT, TAIL_TEXT = "the and thonor", "the the of", "the and of"
 
 
 def query(f):
@@ -81,21 +80,14 @@ def vec_normalize_norms(spark, sf):
     return vectors(spark, sf).select("id", F.round(vector.norm(vector.as_vector(F.col("vector"))), 6).alias("norm"), F.round(vector.norm(unit), 5).alias("unit_norm"))
 
 
-@query
-def vec_batch_topk(spark, sf):
-    rows = vectors(spark, sf)
-    asked = {r["id"]: list(r["vector"]) for r in rows.where(F.col("vec_id") < BATCH).select("id", "vector").collect()}
-    return rank.batch_top_vectors(rows, asked).select("query", "id", "rank", r6("dist"))
-
-
 def _hundredth(spark, sf):
     """The queries of searches: every row whose id is divisible by 100."""
     return vectors(spark, sf).where(F.col("vec_id") % 100 == 0).select(F.col("id").alias("query"), F.col("vector").alias("q"))
 
 
 @query
-def vec_batch_topk_hundredth(spark, sf):
-    return rank.join_top_vectors(vectors(spark, sf), _hundredth(spark, sf)).select("query", "id", "rank", r6("dist"))
+def vec_batch_topk(spark, sf):
+    return rank.batch_top_vectors(vectors(spark, sf), _hundredth(spark, sf)).select("query", "id", "rank", r6("dist"))
 
 
 def _filtered(spark, sf, spec):
@@ -128,9 +120,9 @@ def vec_group_mean(spark, sf):
 
 @query
 def parse_vector(spark, sf):
+    """N15 over all components."""
     rows = vectors(spark, sf)
-    written = F.array_join(F.slice(F.col("vector"), 1, 4).cast("array<string>"), " , ")
-    back = vector.parse_vector(written)
+    back = vector.parse_vector(F.array_join(F.col("vector").cast("array<string>"), " , "))
     return rows.select("id", F.size(back).cast("long").alias("n"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
@@ -352,14 +344,6 @@ def bm25_tail_only(spark, sf):
     return rank.top_texts(documents(spark, sf), TAIL_TEXT, rank.Stats()).select("id", r6("score"))
 
 
-@query
-def bm25_tail_overlay(spark, sf):
-    """Statistics of the indexed half score the tail too."""
-    docs = documents(spark, sf)
-    stats = rank.Stats.of(docs.where(F.col("doc_id") < SPLIT), text.query_terms(QUERY_TEXT))
-    return rank.top_texts(docs, QUERY_TEXT, stats).select("id", r6("score"))
-
-
 @query
 def hybrid_rrf_topk(spark, sf):
     docs, window = documents(spark, sf), rank.TOP_K * rank.WIDEN
@@ -411,24 +395,6 @@ def branch_chain(spark, sf):
     return fold.last_operations(fold.view([(log, b[0], b[1]), (log, b[1], b[2]), (log, b[3], b[4])])).select("id", "event_id", "deleted")
 
 
-def _tail(spark, sf):
-    """The tail: ids from SPLIT - 100 on, every seventh deleted, every fifth without a vector."""
-    rows = vectors(spark, sf).where(F.col("vec_id") >= SPLIT - 100)
-    return rows.withColumn("deleted", F.col("vec_id") % 7 == 0).withColumn("vector", F.when(F.col("vec_id") % 5 != 0, F.col("vector")))
-
-
-@query
-def overlay_vec(spark, sf):
-    indexed = vectors(spark, sf).where(F.col("vec_id") < SPLIT)
-    return _ranked(rank.top_vectors(rank.overlay(indexed, _tail(spark, sf)), query_vector(spark, sf)))
-
-
-@query
-def overlay_tombstone(spark, sf):
-    indexed = vectors(spark, sf).where(F.col("vec_id") < SPLIT)
-    return rank.overlay(indexed, _tail(spark, sf)).select("id", F.col("vector").isNotNull().alias("has_vector"))
-
-
 def _jobs(spark, sf):
     log = event_log(spark, sf)
     order = Window.partitionBy("id").orderBy("seq", "pos")
@@ -456,28 +422,11 @@ def latency_percentiles(spark, sf):
 
 @query
 def recall_at_k(spark, sf):
-    """Recall at 10 of three probed clusters for a set of queries."""
-    rows, centroids = vectors(spark, sf), _label_means(spark, sf)
-    asked = {r["id"]: list(r["vector"]) for r in rows.where(F.col("vec_id") < BATCH).select("id", "vector").collect()}
-    exact = rank.batch_top_vectors(rows, asked)
-    probes = [F.struct(F.lit(n).alias("query"), F.lit(c).alias("cluster")) for n, v in asked.items() for c in ivf.probe(centroids, v, 3)]
-    pairs = spark.range(1).select(F.explode(F.array(*probes)).alias("p")).select("p.query", "p.cluster")
-    placed = ivf.assign(rows, centroids).select("id", "vector", "cluster").join(pairs, "cluster")
-    q = F.create_map(*(x for n, v in asked.items() for x in (F.lit(n), F.lit(v).cast("array<float>"))))[F.col("query")]
-    order = Window.partitionBy("query").orderBy("dist", "id")
-    found = placed.select("query", "id", vector.cosine_distance(F.col("vector"), q).alias("dist")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    return measure.recall(exact, found).select("query", "hits", r6("recall"))
-
-
-@query
-def recall_at_k_hundredth(spark, sf):
     """Recall at 10 of three probed clusters, for every row whose id is divisible by 100."""
     rows, centroids, asked = vectors(spark, sf), _label_means(spark, sf), _hundredth(spark, sf)
-    probes = asked.select("query", "q", F.explode(ivf.nearest_clusters(F.col("q"), centroids, 3)).alias("cluster"))
-    placed = ivf.assign(rows, centroids).select("id", "vector", "cluster").join(probes, "cluster")
-    order = Window.partitionBy("query").orderBy("dist", "id")
-    found = placed.select("query", "id", vector.cosine_distance(F.col("vector"), F.col("q")).alias("dist")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    return measure.recall(rank.join_top_vectors(rows, asked), found).select("query", "hits", r6("recall"))
+    probes = asked.withColumn("clusters", ivf.nearest_clusters(F.col("q"), centroids, 3))
+    found = rank.batch_top_vectors(ivf.assign(rows, centroids), probes, probed=True)
+    return measure.recall(rank.batch_top_vectors(rows, asked), found).select("query", "hits", r6("recall"))
 
 
 def _half(spark, sf, name, key):
@@ -486,7 +435,7 @@ def _half(spark, sf, name, key):
 
 
 @query
-def bm25_tail_overlay_half(spark, sf):
+def bm25_tail_overlay(spark, sf):
     """Statistics of the indexed half score the tail too."""
     docs = documents(spark, sf)
     stats = rank.Stats.of(docs.where(F.col("doc_id") < _half(spark, sf, "documents", "doc_id")), text.query_terms(QUERY_TEXT))
@@ -501,23 +450,15 @@ def _overlay_half(spark, sf):
 
 
 @query
-def overlay_vec_half(spark, sf):
+def overlay_vec(spark, sf):
     return _ranked(rank.top_vectors(_overlay_half(spark, sf), query_vector(spark, sf)))
 
 
 @query
-def overlay_tombstone_half(spark, sf):
+def overlay_tombstone(spark, sf):
     return _overlay_half(spark, sf).select("id", F.col("vector").isNotNull().alias("has_vector"))
 
 
-@query
-def parse_vector_whole(spark, sf):
-    """N15 over all components."""
-    rows = vectors(spark, sf)
-    back = vector.parse_vector(F.array_join(F.col("vector").cast("array<string>"), " , "))
-    return rows.select("id", F.size(back).cast("long").alias("n"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
-
-
 def _space(spark, config):
     """A new namespace whose tables lie in the shared folder of the session, in local mode alone in one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)

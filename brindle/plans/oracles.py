@@ -8,7 +8,7 @@ from ..functions.text import B, K1, query_terms
 from ..operators.attrs import FILTER_FIRST, MOST_VALUES
 from ..operators.rank import RRF_K, TOP_K, WIDEN
 from ..streaming.queue import TIMEOUT_NS
-from .catalogue import BATCH, DUP_TEXT, QUERY_TEXT, SPLIT, TAIL_TEXT
+from .catalogue import DUP_TEXT, QUERY_TEXT, TAIL_TEXT
 
 _E = "(SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -77,8 +77,12 @@ def _fold(where: str, columns: str, kept: str) -> str:
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, pos DESC) AS n FROM {_LOG} WHERE {where}) WHERE n = 1 AND {kept}"
 
 
-_TAIL = f"(SELECT id, vec_id, label, CASE WHEN vec_id % 5 <> 0 THEN v END AS v FROM {_E} WHERE vec_id >= {SPLIT - 100} AND vec_id % 7 <> 0)"
-_OVERLAY = f"(SELECT id, vec_id, label, v FROM {_E} WHERE vec_id < {SPLIT - 100} UNION ALL SELECT * FROM {_TAIL})"
+# the indexed half, under a tail that begins a fifth of it earlier
+_EARLY = "(SELECT (max(vec_id) + 1) // 2 - (max(vec_id) + 1) // 2 // 5 FROM embeddings)"
+_HALF = "(SELECT (max(doc_id) + 1) // 2 FROM documents)"
+_SUM = "list_sum(list_transform(v, lambda x: x))"
+_TAIL = f"(SELECT id, vec_id, label, CASE WHEN vec_id % 5 <> 0 THEN v END AS v FROM {_E} WHERE vec_id >= {_EARLY} AND vec_id % 7 <> 0)"
+_OVERLAY = f"(SELECT id, vec_id, label, v FROM {_E} WHERE vec_id < {_EARLY} UNION ALL SELECT * FROM {_TAIL})"
 _JOBS = f"(SELECT id AS namespace, seq AS enqueued_at, CASE WHEN pos % 2 = 0 THEN 'pending' ELSE 'in_progress' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, pos) AS n FROM {_LOG}) WHERE n = 1)"
 _ENTRIES = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {key} AS value_key FROM {_D} WHERE {f} IS NOT NULL" for f, key in (("lang", "'s:' || lang"), ("source", "'s:' || source"), ("n_chars", "'n:' || n_chars"), ("text", "'s:' || text")))
 _L = "id, label, round(dist, 6) AS dist"
@@ -88,7 +92,7 @@ _HYBRID = f"""
   fused AS (SELECT coalesce(near.id, told.id) AS id, dist, score, coalesce(1.0::DOUBLE / ({RRF_K} + near.r), 0) + coalesce(1.0::DOUBLE / ({RRF_K} + told.r), 0) AS rrf FROM near FULL JOIN told ON near.id = told.id)
   SELECT id, round(dist, 6) AS dist, round(score, 6) AS score, round(rrf, 6) AS rrf FROM (SELECT * FROM fused ORDER BY rrf DESC, id LIMIT {TOP_K})"""
 _ZERO = json.dumps([0.0] * 64)
-_RANKED = f"SELECT q.id AS query, e.id, {_cos('e.v', 'q.v')} AS dist FROM {_E} e, (SELECT * FROM {_E} WHERE vec_id < {BATCH}) q"
+_RANKED = f"SELECT q.id AS query, e.id, {_cos('e.v', 'q.v')} AS dist FROM {_E} e, (SELECT * FROM {_E} WHERE vec_id % 100 = 0) q"
 _EXACT = f"(SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, id) AS rank FROM ({_RANKED}))"
 _PERCENTILES = ", ".join(f"round(quantile_disc(value, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"), (0.999, "p99_9")))
 
@@ -106,7 +110,7 @@ ORACLES = {
     "vec_filter_unknown_op": _ordered_top(where="false", columns=_L),
     "vec_filter_all": _ordered_top(columns=_L),
     "vec_group_mean": f"SELECT label, pos::INT AS pos, round(mean, 6) AS mean FROM ({_MEANS})",
-    "parse_vector": f"SELECT id, 4::BIGINT AS n, round(v[1] + v[2] + v[3] + v[4], 5) AS total FROM {_E}",
+    "parse_vector": f"SELECT id, len(v)::BIGINT AS n, round({_SUM}, 5) AS total FROM {_E}",
     "refresh_changed": f"SELECT id, vec_id % 3 = 0 AND list_dot_product(v, v) > 0 AS changed FROM {_E}",
     "ivf_assign": f"SELECT id, cluster::BIGINT AS cluster FROM ({_ASSIGN})",
     "ivf_cluster_sizes": f"SELECT cluster::BIGINT AS cluster, count(*) AS size FROM ({_ASSIGN}) GROUP BY cluster",
@@ -136,7 +140,7 @@ ORACLES = {
     "bm25_no_hits": _top_text("zzzqqqxxx"),
     "bm25_indexed": _top_text(QUERY_TEXT),
     "bm25_tail_only": _top_text(TAIL_TEXT, indexed="false"),
-    "bm25_tail_overlay": _top_text(QUERY_TEXT, indexed=f"doc_id < {SPLIT}"),
+    "bm25_tail_overlay": _top_text(QUERY_TEXT, indexed=f"doc_id < {_HALF}"),
     "hybrid_rrf_topk": _HYBRID,
     "wal_fold_live": _fold("true", "id, event_id, round(value, 6) AS value", "NOT deleted"),
     "wal_fold_deleted": _fold("true", "id", "deleted"),
@@ -150,23 +154,9 @@ ORACLES = {
     "latency_percentiles": f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, {_PERCENTILES} FROM events GROUP BY event_type",
     "recall_at_k": f"""
       WITH e AS (SELECT query, id FROM {_EXACT} WHERE rank <= 10),
-      p AS (SELECT query, cluster FROM (SELECT q.id AS query, cluster, row_number() OVER (PARTITION BY q.id ORDER BY {_cos("c", "q.v")}, cluster) AS n FROM ({_CENTRES}), (SELECT * FROM {_E} WHERE vec_id < {BATCH}) q) WHERE n <= 3),
+      p AS (SELECT query, cluster FROM (SELECT q.id AS query, cluster, row_number() OVER (PARTITION BY q.id ORDER BY {_cos("c", "q.v")}, cluster) AS n FROM ({_CENTRES}), (SELECT * FROM {_E} WHERE vec_id % 100 = 0) q) WHERE n <= 3),
       f AS (SELECT query, id FROM (SELECT p.query, a.id, row_number() OVER (PARTITION BY p.query ORDER BY {_cos("a.v", "q.v")}, a.id) AS n FROM ({_ASSIGN}) a JOIN p ON p.cluster = a.cluster JOIN {_E} q ON q.id = p.query) WHERE n <= 10)
       SELECT e.query, count(f.id) AS hits, round(count(f.id) / count(*), 6) AS recall FROM e LEFT JOIN f ON e.query = f.query AND e.id = f.id GROUP BY e.query""",
-}
-
-# the same for every row whose id is divisible by 100
-ORACLES |= {f"{name}_hundredth": ORACLES[name].replace(f"vec_id < {BATCH}", "vec_id % 100 = 0") for name in ("vec_batch_topk", "recall_at_k")}
-
-# the same with half of the table indexed
-_EARLY = "(SELECT (max(vec_id) + 1) // 2 - (max(vec_id) + 1) // 2 // 5 FROM embeddings)"
-ORACLES |= {f"{name}_half": ORACLES[name].replace(f"vec_id >= {SPLIT - 100}", f"vec_id >= {_EARLY}").replace(f"vec_id < {SPLIT - 100}", f"vec_id < {_EARLY}") for name in ("overlay_vec", "overlay_tombstone")}
-ORACLES["bm25_tail_overlay_half"] = ORACLES["bm25_tail_overlay"].replace(f"doc_id < {SPLIT}", "doc_id < (SELECT (max(doc_id) + 1) // 2 FROM documents)")
-
-_HALF = "(SELECT (max(doc_id) + 1) // 2 FROM documents)"
-_SUM = "list_sum(list_transform(v, lambda x: x))"
-ORACLES |= {
-    "parse_vector_whole": f"SELECT id, len(v)::BIGINT AS n, round({_SUM}, 5) AS total FROM {_E}",
     "ns_upsert_delete": f"SELECT id, round({_SUM} * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 5) AS total, label FROM {_E} WHERE vec_id % 7 <> 0",
     "ns_branch": f"SELECT id, 'child' AS space FROM {_E} WHERE vec_id % 2 = 0 AND vec_id % 7 <> 0 UNION ALL SELECT id, 'parent' FROM {_E}",
     "ns_query_vector": _ordered_top(where="label = 3", columns=_L),
