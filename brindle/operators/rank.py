@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import idf, query_terms, term_score, tokens
+from ..functions.text import idf, idf_column, query_terms, term_score, tokens
 from ..functions.vector import COSINE, L2, distance
 from ._arrow import matrix
 
@@ -180,6 +180,29 @@ def indexed_scores(index: DataFrame, query: str, stats: Stats) -> DataFrame:
     return hits.groupBy("id").agg(F.sum(term_score(weight, F.col("tf").cast("double"), F.col("dl"), stats.avgdl)).alias("score"))
 
 
+def batch_top_texts(index: DataFrame, queries: DataFrame, n: int, avgdl: float, k: int = TOP_K) -> DataFrame:
+    """The k best documents of each of any number of queries (query, text): ``query, id, score, rank``, ties by id.
+
+    ``index`` is of ``term, id, tf, dl`` and ``n`` documents of mean length ``avgdl``. Only postings of terms asked for are joined,
+    and a posting list is split where it is long, as AQE splits any skewed side; a document sends its score per query, summed before the exchange."""
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("_asked"))
+    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    weighted = asked.join(df, "term").select("query", "term", (F.col("_asked") * idf_column(F.lit(n), F.col("_df"))).alias("_weight"))
+    part = term_score(F.col("_weight"), F.col("tf").cast("double"), F.col("dl"), avgdl)
+    scored = index.join(weighted, "term").groupBy("query", "id").agg(F.sum(part).alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def batch_fuse(vectors: DataFrame, texts: DataFrame, k: int = TOP_K, constant: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of two batches (query, id, rank, and dist or score): ``query, id, dist, score, rrf, rank``."""
+    v, t = vectors.select("query", "id", "dist", F.col("rank").alias("_v")), texts.select("query", "id", "score", F.col("rank").alias("_t"))
+    part = lambda rank: F.coalesce(1.0 / (constant + F.col(rank)), F.lit(0.0))
+    both = v.join(t, ["query", "id"], "full_outer").select("query", "id", "dist", "score", (part("_v") + part("_t")).alias("rrf"))
+    order = Window.partitionBy("query").orderBy(F.desc("rrf"), "id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def fuse(vectors: DataFrame, texts: DataFrame, k: int = TOP_K, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two top lists (id, dist) and (id, score): ``id, dist, score, rrf``.
 

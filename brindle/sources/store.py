@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import threading
 import uuid
+from collections.abc import Mapping
 
 
 class NotFound(KeyError):
@@ -171,3 +172,23 @@ class HadoopStore(MemoryStore):
             if folder.endswith("@") and not path.getName().startswith("."):
                 found.add(folder[start:-1])
         return sorted(k for k in found if k.startswith(prefix))
+
+
+#: Settings of an S3 endpoint, and those that may be left out.
+S3_SETTINGS = {"BRINDLE_S3_ENDPOINT": "endpoint", "BRINDLE_S3_BUCKET": None, "BRINDLE_S3_ACCESS_KEY": "access.key", "BRINDLE_S3_SECRET_KEY": "secret.key", "BRINDLE_S3_REGION": "endpoint.region"}
+S3_OPTIONAL = {"BRINDLE_S3_REGION"}
+
+
+def s3_store(spark, environment: Mapping[str, str] = os.environ) -> HadoopStore:
+    """A store in the bucket that the environment names; all settings that are missing are named at once.
+
+    They hold for that bucket alone, so tables in others keep theirs. The S3 connector must be on Spark's class path."""
+    missing = [x for x in S3_SETTINGS if x not in S3_OPTIONAL and not environment.get(x)]
+    if missing:
+        raise ValueError(f"missing settings: {', '.join(missing)}")
+    bucket, conf = environment["BRINDLE_S3_BUCKET"], spark.sparkContext._jsc.hadoopConfiguration()
+    for name, option in S3_SETTINGS.items():
+        if option and environment.get(name):
+            conf.set(f"fs.s3a.bucket.{bucket}.{option}", environment[name])
+    conf.set(f"fs.s3a.bucket.{bucket}.path.style.access", "true")
+    return HadoopStore(spark, f"s3a://{bucket}")
