@@ -31,7 +31,10 @@ def idf_column(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def term_score(weight: Column | float, tf: Column, length: Column, average: float) -> Column:
+def term_score(weight: Column | float, tf: Column, length: Column, average: Column | float) -> Column:
     """An average of 0 (no index yet) counts as a length ratio of 0."""
-    ratio = length / average if average else F.lit(0.0)
+    if isinstance(average, Column):
+        ratio = F.coalesce(length / F.nullif(average, F.lit(0.0)), F.lit(0.0))
+    else:
+        ratio = length / average if average else F.lit(0.0)
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio))

@@ -172,6 +172,28 @@ def top_texts(docs: DataFrame, query: str, stats: Stats, k: int = TOP_K, where:
     return bm25_scores(kept, query, stats).orderBy(F.desc("score"), "id").limit(k or TOP_K)
 
 
+def live_top_texts(docs: DataFrame, query: str, k: int = TOP_K, where: Column | None = None) -> DataFrame:
+    """``id, score`` of the k best of ``docs`` (id, text, ...) by the statistics of all of them, the filter's own or not; no job runs before.
+
+    Each text is split once: its length and its count of each query term (a few numbers a document) go through one exchange, which
+    both the statistics and the scores read. Statistics are one row."""
+    terms = Counter(query_terms(query))
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    asked = sorted(terms)
+    times = lambda t: F.size(F.filter("_w", lambda w: w == t)).cast("double")
+    tf = [times(t).alias(f"_tf{j}") for j, t in enumerate(asked)]
+    kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    counted = tokenised(docs.withColumn("_kept", kept)).select("id", "_kept", F.size("_w").alias("_dl"), *tf).repartition("id")
+    df = [F.sum((F.col(f"_tf{j}") > 0).cast("long")).alias(f"_df{j}") for j in range(len(asked))]
+    # the statistics read the filter's column too, and the filter is decided beside them: so both sides need the same exchange
+    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), F.bool_or("_kept").alias("_any"), *df)
+    parts = [terms[t] * term_score(idf_column(F.col("_n"), F.col(f"_df{j}")), F.col(f"_tf{j}"), F.col("_dl"), F.col("_avg")) for j, t in enumerate(asked)]
+    score = F.when(F.col("_kept") & F.col("_any"), reduce(Column.__add__, parts))
+    scored = counted.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    return scored.where(F.col("score") > 0).orderBy(F.desc("score"), "id").limit(k or TOP_K).select("id", "score")
+
+
 def indexed_scores(index: DataFrame, query: str, stats: Stats) -> DataFrame:
     """``id, score`` from an index of ``term, id, tf, dl``; only the rows of the query's terms are read."""
     terms = Counter(query_terms(query))

@@ -306,8 +306,7 @@ def term_idf(spark, sf):
 
 
 def _bm25(spark, sf, q, where=None):
-    docs = documents(spark, sf)
-    return rank.top_texts(docs, q, rank.Stats.of(docs, text.query_terms(q)), where=where).select("id", r6("score"))
+    return rank.live_top_texts(documents(spark, sf), q, where=where).select("id", r6("score"))
 
 
 @query
@@ -348,7 +347,7 @@ def bm25_tail_only(spark, sf):
 def hybrid_rrf_topk(spark, sf):
     docs, window = documents(spark, sf), rank.TOP_K * rank.WIDEN
     near = rank.top_vectors(vectors(spark, sf), query_vector(spark, sf), window)
-    told = rank.top_texts(docs, QUERY_TEXT, rank.Stats.of(docs, text.query_terms(QUERY_TEXT)), window)
+    told = rank.live_top_texts(docs, QUERY_TEXT, window)
     return rank.fuse(near, told).select("id", r6("dist"), r6("score"), r6("rrf"))
 
 

@@ -69,3 +69,19 @@ def test_only_rare_filters_go_first(spark):
 def test_all_missing_settings_are_named(spark):
     with pytest.raises(ValueError, match="BRINDLE_S3_ENDPOINT, BRINDLE_S3_ACCESS_KEY, BRINDLE_S3_SECRET_KEY"):
         store.s3_store(spark, {"BRINDLE_S3_BUCKET": "b", "BRINDLE_S3_SECRET_KEY": ""})
+
+
+def test_live_ranking_splits_texts_once_and_filters_after_the_statistics(spark):
+    from pyspark.sql import functions as F
+
+    docs = generate.documents(spark, 120, 2, 4).withColumn("kind", F.when(F.col("id") != "doc-3", F.length("text") % 3))
+    docs = docs.unionByName(spark.createDataFrame([("none", None, None, "en", 1)], "id string, vector array<float>, text string, lang string, kind int"))
+    for q in ("amber river", "delta delta quartz", "nowhere", "", "TUNDRA kelp"):
+        for where in (None, F.col("kind") == 1, F.lit(False)):
+            got = [(r["id"], round(r["score"], 9)) for r in rank.live_top_texts(docs, q, 9, where).collect()]
+            one = rank.top_texts(docs, q, rank.Stats.of(docs, text.query_terms(q)), 9, where).collect()
+            assert got == [(r["id"], round(r["score"], 9)) for r in one]
+    assert rank.live_top_texts(docs.limit(0), "amber").count() == 0
+    ranked = rank.live_top_texts(docs, "amber river", 9, F.col("kind") == 1)
+    ranked.collect()
+    assert "ReusedExchange" in ranked._jdf.queryExecution().executedPlan().toString()
