@@ -341,14 +341,14 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _arrays(window: int):
-    """Suffix arrays over the segments of one or more minimizers, and from them the runs of repeated windows."""
+    """Suffix arrays over the segments of one or more minimizers, and from them the runs of repeated windows of those that occur once."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         found = repeated_starts(rows.column("content").to_pylist(), window)
         spans = pa.array([[{"a": a, "b": b} for a, b in runs(x)] for x in found], _RUNS)
         out = pa.RecordBatch.from_arrays([rows.column("key").combine_chunks(), rows.column("kind").combine_chunks(), spans], ["key", "kind", "spans"])
-        return out.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+        return out.filter(pc.and_(pa.array([len(x) > 0 for x in found], pa.bool_()), rows.column("single").combine_chunks()))
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -459,9 +459,8 @@ def repeated_segments(rows: DataFrame, window: int) -> DataFrame:
     partial = dealt(contents).mapInArrow(_arrays(window), "key long, kind long, spans array<struct<a: int, b: int>>")
     partial = partial.groupBy("key", "kind").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
-    spans = hot.join(partial.select(F.col("key").alias("_k"), F.col("kind").alias("_c"), "spans"), (F.col("key") == F.col("_k")) & (F.col("kind") == F.col("_c")), "left")
-    spans = spans.select("key", "kind", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    spans = written(spans, "spans")
+    # a kind is in one of the two; a union has no partitioning, so the join exchanges both its sides and can split a hot kind
+    spans = hot.where("n > 1").select("key", "kind", whole.alias("spans")).unionByName(partial)
 
     placed = rows.mapInArrow(_placed(window), shape)
     at = placed.join(spans, ["key", "kind"]).select("doc_id", "tag", F.struct("start", "spans").alias("place"))
