@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 
+#: Rows whose texts, words and sets a worker holds as Python objects at a time.
+SLICE = 1024
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most SLICE of them at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Where a row's keys differ from the row's before."""
     if batch.num_rows < 2:

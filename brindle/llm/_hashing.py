@@ -9,7 +9,7 @@ import numpy as np
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 #: Words whose hashes are kept at a time, and the longest word kept.
-KNOWN, LONGEST_KNOWN = 1_000_000, 64
+KNOWN, LONGEST_KNOWN = 131_072, 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

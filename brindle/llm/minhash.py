@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._groups import Union, block_pairs, connected_components, groups
+from ._groups import Union, block_pairs, connected_components, groups, sliced
 from ._hashing import BASE, WordHashes, mixed
 from ._shared import id_and_text, written
 
@@ -101,7 +101,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         counts, keys, signatures, bands = [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingles(text.encode("utf-8", "surrogatepass"))
@@ -145,7 +145,7 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full sets; of rows that share an id only those of the class asked for."""
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingles(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
         right = pa.array([set_key(s) == c for s, c in zip(sets, batch.column("class").to_pylist())], pa.bool_())
         names = [n for n in batch.schema.names if n != "text"]

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._groups import sliced
 from ._shared import written
 
 #: Fixed values of the contract.
@@ -81,7 +82,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         counts = np.array([text_counts(t.as_py()) for t in batch.column("_text")], np.int64).reshape(-1, len(COUNT_NAMES))
         columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "_text"]
         names = [name for name in batch.schema.names if name != "_text"]
