@@ -6,8 +6,11 @@ a term draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from hashes of itself and the sa
     t = floor(ln w / r + b),    ln a = ln c - r (t - b + 1)
 
 the sample is the (term, t) of least a. Two documents get the same sample with a probability equal to their
-generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w'). ln a itself names the
-sample, so the least is a plain ``min`` of a double, which hash aggregation keeps in place.
+generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w'). r and b come from two uniform
+numbers as r = -ln(u v) and b = ln v / ln(u v): the sum of two exponential draws is Gamma(2, 1), and their shares
+of it are uniform and independent of it. Then a = c u (u v)^t, and t is the greatest for which w u^t v^(t-1) >= 1,
+or 0: most samples need one logarithm, that of c. a itself names the sample, so the least is a plain ``min`` of a
+double, which hash aggregation keeps in place.
 
 Texts are shuffled once by id; terms, weights and samples are then made within that partitioning, so the
 (document, term) rows never leave their task, and a document's terms are not gathered in a row.
@@ -80,17 +83,20 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def draws(term: Column, number: Column, name: str) -> list[Column]:
-    """What the sample of a number needs of a hashed term: 1 / r, b, r and ln c - r (1 - b)."""
+    """What the sample of a number needs of a hashed term: u, c u and u v, none of them ever null."""
     one, two = F.xxhash64(term, number * 2), F.xxhash64(term, number * 2 + 1)
-    r = -F.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
-    c = F.log(-F.log(_uniform(one, 42, 22) * _uniform(two, 0, 22)))
-    b = _uniform(two, 22, 30)
-    return [(1.0 / r).alias(f"i{name}"), b.alias(f"b{name}"), r.alias(f"r{name}"), (c - r * (1.0 - b)).alias(f"d{name}")]
+    u, v = _uniform(one, 0, 21), _uniform(two, 0, 32)
+    # log() counts as nullable, and so would all that is made of it
+    c = -F.coalesce(F.log(_uniform(one, 21, 21) * _uniform(one, 42, 22)), F.lit(0.0))
+    return [u.alias(f"u{name}"), (c * u).alias(f"c{name}"), (u * v).alias(f"x{name}")]
 
 
-def sample(name: str, log_weight: str) -> Column:
-    """ln a; null without a weight. Term, t and sample number alone make it, so an equal least is an equal sample."""
-    return F.col(f"d{name}") - F.col(f"r{name}") * F.floor(F.col(log_weight) * F.col(f"i{name}") + F.col(f"b{name}"))
+def sample(name: str, weight: str) -> Column:
+    """a; null without a weight. Term, t and sample number alone make it, so an equal least is an equal sample."""
+    w, u, first, x = (F.col(c) for c in (weight, f"u{name}", f"c{name}", f"x{name}"))
+    # t is 0 or 1 for most, and not less than 2 below, however the quotient is rounded: each t has one formula
+    t = F.greatest(F.lit(2.0), F.floor(F.log(w * u) / -F.log(x)) + 1.0)
+    return F.when(w * u < 1.0, F.when(w > 0, first)).when(w * u * x < 1.0, first * x).otherwise(first * F.pow(x, t))
 
 
 def _hex(least: Column) -> Column:
@@ -128,9 +134,9 @@ def fingerprints(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     counted = words.groupBy(*kept, F.xxhash64("word").alias("term")).agg(occurs("in_text").alias("w0"), occurs("in_edited").alias("w1"))
     # a row takes PER_ROW samples: few columns, so that generated code stays small enough to be compiled well
     rounds = F.explode(F.array(*map(F.lit, range(samples // PER_ROW))))
-    numbered = counted.select(*kept, "term", F.when(F.col("w0") > 0, F.log("w0")).alias("l0"), F.when(F.col("w1") > 0, F.log("w1")).alias("l1"), rounds.alias("round"))
-    drawn = numbered.select(*kept, "round", "l0", "l1", *(x for k in range(PER_ROW) for x in draws(F.col("term"), F.col("round") * PER_ROW + k, str(k))))
-    least = drawn.groupBy(*kept, "round").agg(*(F.min(sample(str(k), weight)).alias(f"{side}{k}") for side, weight in (("s", "l0"), ("e", "l1")) for k in range(PER_ROW)))
+    numbered = counted.select(*kept, "term", *(F.col(w).cast("double").alias(w) for w in ("w0", "w1")), rounds.alias("round"))
+    drawn = numbered.select(*kept, "round", "w0", "w1", *(x for k in range(PER_ROW) for x in draws(F.col("term"), F.col("round") * PER_ROW + k, str(k))))
+    least = drawn.groupBy(*kept, "round").agg(*(F.min(sample(str(k), weight)).alias(f"{side}{k}") for side, weight in (("s", "w0"), ("e", "w1")) for k in range(PER_ROW)))
     some = F.struct("round", *(F.array(*(F.col(f"{side}{k}") for k in range(PER_ROW))).alias(side) for side in "se"))
     whole = least.groupBy(*kept).agg(F.sort_array(F.collect_list(some)).alias("all"))
     out = whole.select(

@@ -382,6 +382,26 @@ def test_registered_fingerprints_are_near(spark):
     assert root["near_edited"] < 0.065 and root["near_next"] < 0.065
 
 
+def test_samples_follow_the_formula_with_one_logarithm(spark):
+    """a against c exp(-r (t - b + 1)) for gamma draws r, c and a uniform b; only c takes a logarithm of every draw."""
+    draws = fingerprint.draws(F.col("term"), F.col("number"), "0")
+    assert sum(str(x).lower().count("log(") + str(x).lower().count("ln(") for x in draws) == 1
+    weights = [0, 1, 2, 3, 7, 40, 1000, 10**6]
+    given = spark.range(500).selectExpr("xxhash64(id) term", "cast(id % 7 as int) number", *(f"{w}d w{w}" for w in weights))
+    got = given.select(*(f"w{w}" for w in weights), *draws).select("u0", "c0", "x0", *(fingerprint.sample("0", f"w{w}").alias(f"a{w}") for w in weights)).collect()
+    u, c, x = (np.array([r[k] for r in got]) for k in ("u0", "c0", "x0"))
+    r, b, c = -np.log(x), np.log(x / u) / np.log(x), c / u
+    for mean, draw in ((2, r), (2, c), (0.5, b)):
+        assert draw.min() > 0 and abs(draw.mean() - mean) < 0.3 * mean / 2
+    assert b.max() < 1 and abs(np.corrcoef([r, b, c])[np.triu_indices(3, 1)]).max() < 0.2
+    seen = set()
+    for w in weights[1:]:
+        t = np.floor(np.log(w) / r + b)
+        seen |= set(t)
+        np.testing.assert_allclose([row[f"a{w}"] for row in got], c * np.exp(-r * (t - b + 1)), rtol=1e-9)
+    assert {0, 1, 2, 3, 10} <= seen and all(row["a0"] is None for row in got)
+
+
 def test_fingerprints_need_integer_ids(docs):
     with pytest.raises(TypeError, match="string"):
         fingerprint.document_fingerprints(docs.selectExpr("cast(doc_id as string) doc_id", "text"))
